@@ -116,19 +116,20 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
     return train(texts, marks)
 
 
-def scored(docs: DataFrame, labels: DataFrame, model: tuple[np.ndarray, float] | None = None) -> DataFrame:
-    """docs with held_out, score and predicted."""
+def scored(docs: DataFrame, labels: DataFrame, model: tuple[np.ndarray, float] | None = None, carry: list[str] | None = None) -> DataFrame:
+    """docs with held_out, score and predicted. carry: the columns to keep, with doc_id; all by default."""
     spark = docs.sparkSession
     weights, bias = model or fit(docs, labels)
     shared = spark.sparkContext.broadcast(weights)  # SLOTS floats, whatever the input
     docs = docs.drop(*OUT)
-    keep = [f for f in docs.schema.fields]
+    keep = [f for f in docs.schema.fields if carry is None or f.name in ("doc_id", *carry)]
+    names = [f.name for f in keep]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 s = score_batch(part.column("text"), shared.value, bias)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s, pa.float64())], [*part.schema.names, "score"])
+                yield pa.RecordBatch.from_arrays([*[part.column(x) for x in names], pa.array(s, pa.float64())], [*names, "score"])
 
     out = docs.mapInArrow(apply, T.StructType([*keep, T.StructField("score", T.DoubleType())]))
     return out.select(*[f"`{f.name}`" for f in keep], (crc_mod("doc_id", 5) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
@@ -137,4 +138,4 @@ def scored(docs: DataFrame, labels: DataFrame, model: tuple[np.ndarray, float] |
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return scored(docs, labels).select("doc_id", "held_out", "score", "predicted")
+    return scored(docs, labels, carry=[]).select("doc_id", "held_out", "score", "predicted")
