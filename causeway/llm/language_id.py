@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import as_bytes, crc_mod, fraction, slices
+from ._shared import as_bytes, crc_mod, fraction, guarded, materialize, slices
 
 ORDER = 4
 DOCS, LONGEST = 400, 200_000
@@ -135,9 +135,9 @@ def predict(col: pa.Array, langs: list[str], scorer: Scorer) -> tuple[list[str],
 def fit(docs: DataFrame, per_lang: int = DOCS) -> tuple[list[str], list[Tree]]:
     """Trees from the documents that are not held out."""
     known = docs.select("doc_id", "text", "lang").filter("lang IS NOT NULL").filter(crc_mod("doc_id", 4) != HELD_OUT)
-    share = known.groupBy("lang").agg((F.lit(float(per_lang)) / F.count("*")).alias("share"))
+    share = materialize(known.groupBy("lang").agg((F.lit(float(per_lang)) / F.count("*")).alias("share")), "shares")
     fits = known.filter((F.octet_length("text") > 0) & (F.octet_length("text") <= LONGEST))
-    rows = fits.join(share, "lang").filter(fraction(F.col("doc_id"), F.lit(5)) < F.col("share")).select("lang", "text", fraction(F.col("doc_id"), F.lit(5)).alias("u"))
+    rows = fits.join(guarded(share), "lang").filter(fraction(F.col("doc_id"), F.lit(5)) < F.col("share")).select("lang", "text", fraction(F.col("doc_id"), F.lit(5)).alias("u"))
     samples: dict[str, list[tuple]] = {}
     for r in rows.toLocalIterator():
         samples.setdefault(r["lang"], []).append((r["u"], r["text"]))
