@@ -61,7 +61,8 @@ def best(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k:
     order = np.argsort(c_ids, kind="stable")
     c_ids, c = c_ids[order], c[order]
     small = max(np.abs(q).max(initial=0), np.abs(c).max(initial=0)) <= 1 << 20
-    exact_of = (lambda a, b: (a.astype(np.float64) @ b.T.astype(np.float64)).astype(np.int64)) if small else (lambda a, b: a @ b.T)
+    turned = np.ascontiguousarray(c.T, np.float64 if small else np.int64)
+    exact_of = lambda a: (a.astype(turned.dtype) @ turned).astype(np.int64)
     q_stats, c_stats = ([statistics(x, s) for s in SEGMENTS] for x in (q, c))
     # Sums of floats: what they may be off by, and one more.
     slack = 1 + 1e-9 * float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * q.shape[1]
@@ -86,8 +87,11 @@ def best(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k:
             i, j = np.nonzero(alive)
             score = np.einsum("nd,nd->n", own[i], c[j])
         else:
-            i, j = np.nonzero(alive)
-            score = exact_of(own, c)[i, j]
+            # Only scores from the k-th best on are sorted.
+            every = np.where(alive, exact_of(own), np.iinfo(np.int64).min)
+            kth = np.partition(every, len(c) - few, axis=1)[:, len(c) - few]
+            i, j = np.nonzero((every >= kth[:, None]) & alive)
+            score = every[i, j]
         take = np.lexsort((j, -score, i))
         i, j, score = i[take], j[take], score[take]
         rank = np.arange(len(i)) - np.searchsorted(i, i)
