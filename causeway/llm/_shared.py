@@ -40,6 +40,11 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished steps, which else stay until the driver collects its garbage."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def guarded(small: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Mark a materialised table for broadcast if it is counted to be small; else leave the join to Catalyst."""
     return F.broadcast(small) if small.limit(limit + 1).count() <= limit else small
