@@ -32,11 +32,11 @@ def new_table_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/causeway/{uuid.uuid4().hex}/{label}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """Cut the lineage: write ``df`` once to the shared folder and read it back."""
     spark = df.sparkSession
     path = new_table_path(spark, label)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

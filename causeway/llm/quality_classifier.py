@@ -135,6 +135,19 @@ def scored(docs: DataFrame, labels: DataFrame, model: tuple[np.ndarray, float] |
     return out.select(*[f"`{f.name}`" for f in keep], (crc_mod("doc_id", 5) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, model: tuple[np.ndarray, float] | None = None) -> DataFrame:
+    """The documents that score THRESHOLD or more, unchanged; rejected ones never leave the workers."""
+    weights, bias = model or fit(docs, labels)
+    shared = docs.sparkSession.sparkContext.broadcast(weights)  # SLOTS floats, whatever the input
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                yield part.filter(pa.array(score_batch(part.column("text"), shared.value, bias) >= THRESHOLD))
+
+    return docs.mapInArrow(apply, docs.schema)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
