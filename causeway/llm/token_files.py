@@ -22,25 +22,27 @@ from __future__ import annotations
 
 import json
 import math
-import re
+import os
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._pieces import PieceTable, gather
 from ._shared import guarded, materialize, new_table_path, release, slices
 
 END_ID = 2
 LANES, CHECKPOINT, BLOCK = 1024, 256, 400_000
 #: Ids in a file, about; the table's precision in bits; words kept by a worker.
-FILE, PRECISION, KEPT = 16_000_000, 20, 400_000
+FILE, PRECISION, KEPT = 16_000_000, 20, 500_000
+#: Pieces that a call of the library takes as one text.
+TOGETHER = 256
 MAGIC = b"CWT1"
 _HEAD = struct.Struct("<4sIIQQIIII")
 _LOW = np.uint64(1 << 31)
@@ -161,44 +163,47 @@ class WordEncoder:
         self.by_word = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer")
         added = [t["content"] for t in spec.get("added_tokens", [])]
         self.added = added
-        self.cut = regex.compile(pattern).findall
-        ascii_ = pattern.replace(r"\p{L}", "a-zA-Z").replace(r"\p{N}", "0-9").replace(" ?a-zA-Z+", " ?[a-zA-Z]+").replace(" ?0-9+", " ?[0-9]+")
-        self.cut_ascii = re.compile(ascii_, re.ASCII).findall
-        self.kept = kept
-        self.clear()
-
-    def clear(self) -> None:
-        self.code: dict[str, int] = {}
+        self.table = PieceTable(pattern, self._learn, self._forget, kept)
+
+    def _forget(self) -> None:
         self.ids, self.at = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
+    def _learn(self, pieces: list[bytes]) -> None:
+        got = self.pieces([p.decode() for p in pieces])
+        self.ids = np.concatenate([self.ids, np.fromiter((i for g in got for i in g), np.int32)])
+        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum([len(g) for g in got])])
+
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def pieces(self, texts: list[str]) -> list[list[int]]:
+        """As whole(); pieces that start with a blank stay apart when joined, which spares a call for each."""
+        lead = [i for i, t in enumerate(texts) if len(t) > 1 and t[0] == " " and not t[1].isspace()]
+        own = set(lead)
+        rest = [i for i in range(len(texts)) if i not in own]
+        out: list[list[int]] = [[]] * len(texts)
+        for i, ids in zip(rest, self.whole([texts[i] for i in rest])):
+            out[i] = ids
+        groups = [lead[a : a + TOGETHER] for a in range(0, len(lead), TOGETHER)]
+        for group, e in zip(groups, self.tokenizer.encode_batch(["".join([texts[i] for i in g]) for g in groups], add_special_tokens=False)):
+            ids, edge = e.ids, np.searchsorted(np.array(e.word_ids), np.arange(len(group) + 1)).tolist()
+            for k, i in enumerate(group):
+                out[i] = ids[edge[k] : edge[k + 1]]
+        return out
+
+    def encode(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's start."""
-        texts = [t or "" for t in texts]
+        texts = col.to_pylist() if self.added or not self.by_word else []
+        odd = [i for i, t in enumerate(texts) if not self.by_word or t and any(a in t for a in self.added)]
         if not self.by_word:
-            got = self.whole(texts)
+            got = self.whole([t or "" for t in texts])
             return np.fromiter((i for g in got for i in g), np.int32), np.cumsum([0, *map(len, got)])
-        odd = {i for i, t in enumerate(texts) if any(a in t for a in self.added)}
-        cut = [[] if i in odd else self.cut_ascii(t) if t.isascii() else self.cut(t) for i, t in enumerate(texts)]
-        flat = [w for c in cut for w in c]
-        if len(self.code) > self.kept:
-            self.clear()
-        new = [w for w in dict.fromkeys(flat) if w not in self.code]
-        if new:
-            got = self.whole(new)
-            base = len(self.code)
-            self.code.update(zip(new, range(base, base + len(new))))
-            self.ids = np.concatenate([self.ids, np.fromiter((i for g in got for i in g), np.int32)])
-            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum([len(g) for g in got])])
-        code = np.fromiter(map(self.code.__getitem__, flat), np.int64, len(flat))
-        n = self.at[code + 1] - self.at[code]
-        end = np.concatenate([[0], np.cumsum(n)])
-        ids = self.ids[np.repeat(self.at[code] - end[:-1], n) + np.arange(end[-1])]
-        at = end[np.cumsum([0, *map(len, cut)])]
+        code, edge = self.table.codes(col)
+        ids, at = gather(self.ids, self.at, code, edge)
         if odd:
-            parts = [np.array(self.whole([t])[0], np.int32) if i in odd else ids[at[i] : at[i + 1]] for i, t in enumerate(texts)]
+            parts = [ids[a:b] for a, b in zip(at[:-1], at[1:])]
+            for i in odd:
+                parts[i] = np.array(self.whole([texts[i]])[0], np.int32)
             ids, at = np.concatenate(parts), np.cumsum([0, *map(len, parts)])
         return ids, at
 
@@ -209,6 +214,7 @@ _ENCODERS: dict[tuple, WordEncoder] = {}
 def _encoder(text: str, pattern: str) -> WordEncoder:
     """The worker's encoder; workers outlive tasks, so its words serve the next task too."""
     key = zlib.crc32(text.encode()), len(text), pattern
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     if key not in _ENCODERS:
         _ENCODERS[key] = WordEncoder(text, pattern)
     return _ENCODERS[key]
@@ -226,7 +232,7 @@ def token_ids(docs: DataFrame, path: str | None = None, end_id: int = END_ID) ->
         own = _encoder(*shared.value)
         for batch in batches:
             for part in slices(batch):
-                ids, at = own.encode(part.column("text").to_pylist())
+                ids, at = own.encode(part.column("text"))
                 full = np.insert(ids, at[1:], end_id)
                 at = at + np.arange(len(at))
                 small = full.astype("<u2" if full.max(initial=0) < 65536 else "<u4")
