@@ -21,10 +21,10 @@ from collections.abc import Iterator
 import duckdb
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from ._pieces import PieceTable, gather
 from ._shared import slices
 
 STEPS, LONG = 24, 48
@@ -81,7 +81,6 @@ class Codec:
 
     def __init__(self, data: bytes, pattern: str, kept: int = KEPT):
         ranks = read_ranks(data)
-        self.cut, self.kept = regex.compile(pattern).findall, kept
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         rows = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         a, b, r = (np.array(x, np.int64) for x in zip(*rows))
@@ -90,10 +89,9 @@ class Codec:
         self.db.execute("CREATE TABLE merges AS SELECT * FROM given")
         given = pa.table({"tok": pa.array(ranks.values(), pa.int64()), "hx": [t.hex() for t in ranks]})  # noqa: F841
         self.db.execute("CREATE TABLE tokens AS SELECT * FROM given")
-        self.clear()
+        self.table = PieceTable(pattern, self._learn, self._forget, kept)
 
-    def clear(self) -> None:
-        self.code: dict[str, int] = {}
+    def _forget(self) -> None:
         self.tok, self.tok_at = np.zeros(0, np.int32), np.zeros(1, np.int64)
         self.raw, self.raw_at = np.zeros(0, np.uint8), np.zeros(1, np.int64)
 
@@ -126,11 +124,10 @@ class Codec:
         found = self.db.execute("SELECT g, string_agg(hx, '' ORDER BY pos) AS hx FROM rows JOIN tokens USING (tok) GROUP BY g").fetchall()
         return {g: bytes.fromhex(hx) for g, hx in found}
 
-    def learn(self, words: list[str]) -> None:
+    def _learn(self, raw: list[bytes]) -> None:
         """Encode new words, decode what came out, and keep both."""
-        raw = [w.encode() for w in words]
         size = np.cumsum([len(r) for r in raw])
-        edge = [0, *(np.flatnonzero(np.diff(size // BATCH_BYTES)) + 1).tolist(), len(words)]
+        edge = [0, *(np.flatnonzero(np.diff(size // BATCH_BYTES)) + 1).tolist(), len(raw)]
         toks, counts, texts = [self.tok], [], [self.raw]
         lengths = []
         for a, b in zip(edge, edge[1:]):
@@ -143,37 +140,19 @@ class Codec:
             whole = [back[i] for i in range(b - a)]
             lengths += map(len, whole)
             texts.append(np.frombuffer(b"".join(whole), np.uint8))
-        base = len(self.code)
-        self.code.update(zip(words, range(base, base + len(words))))
         self.tok, self.raw = np.concatenate(toks), np.concatenate(texts)
         self.tok_at = np.concatenate([self.tok_at, self.tok_at[-1] + np.cumsum(np.concatenate(counts))])
         self.raw_at = np.concatenate([self.raw_at, self.raw_at[-1] + np.cumsum(lengths)])
 
-    def words(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Code of each word, and where each text's words start."""
-        cut = [self.cut(t) if t else [] for t in texts]
-        flat = [w for c in cut for w in c]
-        if len(self.code) > self.kept:
-            self.clear()
-        new = [w for w in dict.fromkeys(flat) if w not in self.code]
-        if new:
-            self.learn(new)
-        return np.fromiter(map(self.code.__getitem__, flat), np.int64, len(flat)), np.cumsum([0, *map(len, cut)])
-
-    @staticmethod
-    def _gather(data: np.ndarray, at: np.ndarray, code: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n = at[code + 1] - at[code]
-        end = np.concatenate([[0], np.cumsum(n)])
-        return data[np.repeat(at[code] - end[:-1], n) + np.arange(end[-1])], end[text]
-
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's start."""
-        return self._gather(self.tok, self.tok_at, *self.words(texts))
+        code, edge = self.table.codes(col)  # may add to what gather() reads
+        return gather(self.tok, self.tok_at, code, edge)
 
-    def round_trip(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def round_trip(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """As encode(), and the bytes that the ids of each word decode to, with starts."""
-        w = self.words(texts)
-        return (*self._gather(self.tok, self.tok_at, *w), *self._gather(self.raw, self.raw_at, *w))
+        code, edge = self.table.codes(col)
+        return (*gather(self.tok, self.tok_at, code, edge), *gather(self.raw, self.raw_at, code, edge))
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
         """Bytes of each list of ids."""
@@ -209,7 +188,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None)
         own = codec(*shared.value)
         for batch in batches:
             for part in slices(batch):
-                ids, at = own.encode(part.column("text").to_pylist())
+                ids, at = own.encode(part.column("text"))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))], [*part.schema.names, "ids"])
 
     return docs.mapInArrow(apply, schema)
@@ -242,7 +221,7 @@ def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None
         sha = lambda data, at: [hashlib.sha256(memoryview(data)[a:b]).hexdigest() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
         for batch in batches:
             for part in slices(batch):
-                ids, at, raw, raw_at = own.round_trip(part.column("text").to_pylist())
+                ids, at, raw, raw_at = own.round_trip(part.column("text"))
                 cols = [part.column("doc_id"), pa.array(np.diff(at), pa.int64()), pa.array(sha(ids.astype("<u4"), at), pa.string()), pa.array(sha(raw, raw_at), pa.string())]
                 yield pa.RecordBatch.from_arrays(cols, schema.fieldNames())
 
