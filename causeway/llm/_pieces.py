@@ -144,10 +144,11 @@ class PieceTable:
             code, edge = self._fast(raw[use], np.concatenate([[0], np.cumsum(np.diff(at)[easy])]), kind[use])
             for i, a, b in zip(easy, edge[:-1], edge[1:]):
                 parts[i] = code[a:b]
-        texts = raw.tobytes()
-        for i in np.flatnonzero(hard):
-            t = texts[at[i] : at[i + 1]].decode()
-            parts[i] = np.array(self._known([p.encode() for p in self.cut(t)]), np.int64)
+        texts, those = raw.tobytes(), np.flatnonzero(hard)
+        cut = [self.cut(texts[at[i] : at[i + 1]].decode()) for i in those]
+        known = np.array(self._known([p.encode() for c in cut for p in c]), np.int64)
+        for i, part in zip(those, np.split(known, np.cumsum([len(c) for c in cut])[:-1])):
+            parts[i] = part
         return np.concatenate([np.zeros(0, np.int64), *parts]), np.cumsum([0, *map(len, parts)])
 
 
