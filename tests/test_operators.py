@@ -1,0 +1,127 @@
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from causeway.functions import autoregression as ar
+from causeway.operators import covariance, granger, graph, metrics, panel, refit, simulate
+from causeway.plans import experiments, pipeline
+from causeway.sources import readers, sinks
+from causeway.streaming import live
+
+
+@pytest.fixture(scope="module")
+def system(spark):
+    x, b, sv2 = simulate.simulate("scg", 7, 600, 2, 0, 5)
+    x = x - x.mean(0)
+    s = spark.createDataFrame([(i, x[:, i].tolist()) for i in range(7)], "i long, xs array<double>").persist()
+    return x, b, s
+
+
+def test_tiled_covariance_equals_arrays(spark, system):
+    x, _, s = system
+    r = ar.covariances(x, 3)
+    got = {(q.tau, q.i, q.j): q.r for q in covariance.tiled_autocovariance(s, 7, 3, 3).collect()}
+    assert len(got) == 4 * 49 and all(abs(r[k] - v) < 1e-9 for k, v in got.items())
+    joined = {(q.tau, q.i, q.j): q.r for q in covariance.autocovariance(panel.to_panel(s), 3).collect()}
+    assert all(abs(joined[k] - v) < 1e-9 for k, v in got.items())
+
+
+def test_tiles_do_not_change_pairs(system):
+    _, _, s = system
+    key = lambda d: sorted((r.src, r.dst, round(r.xi, 9), round(r.xi_pair, 9), r.p) for r in d.collect())
+    a, b = key(covariance.pairwise(s, 7, 4, 2)), key(covariance.pairwise(s, 7, 4, 100))
+    assert a == b and len(a) == 42
+
+
+def test_pipeline_equals_array_kernel(system):
+    x, b, s = system
+    got = sorted(map(tuple, pipeline.recover(pipeline.tests(s, 7, 600, 4)).collect()))
+    assert got == pipeline.pwgc_arrays(x, 4)
+    fitted = {r.dst: r for r in refit.estimate(graph.with_loops(s.sparkSession.createDataFrame(got, "src long, dst long"), s.select("i")), s, 2).collect()}
+    w, res = pipeline.refit_arrays(x, got, 2)
+    for d, r in fitted.items():
+        assert r.sv2_hat == pytest.approx(res[:, d].var())
+        for src, f in zip(r.srcs, r.b):
+            assert np.allclose(f, w[:, d, src])
+    assert pipeline.iterated_arrays(x, 2)[0]
+
+
+def test_thresholds_by_frames_and_arrays(spark):
+    from causeway.functions import scg
+
+    for seed in range(4):
+        p = np.random.default_rng(seed).random(40) ** 3
+        d = spark.createDataFrame([(float(v), k, k) for k, v in enumerate(p)], "p_value double, src long, dst long")
+        for compat in (True, False):
+            assert granger.bh_threshold(d, 0.3, ["p_value", "src", "dst"], compat).first()[0] == pytest.approx(scg.bh_threshold(p, 0.3, compat=compat))
+
+
+def test_degenerate_panels(spark):
+    d = spark.createDataFrame([(t, i, 0 if i == 1 else t % 3) for t in range(9) for i in (1, 2)], "t long, i long, x long")
+    assert {r.i for r in panel.zscore(d).collect()} == {2}
+    none = spark.createDataFrame([], "t long, i long, x double")
+    assert panel.interpolate(none).count() == 0
+    gap = spark.createDataFrame([(0, 1, None), (1, 1, 2.0), (2, 1, None), (3, 1, 6.0), (4, 1, None)], "t long, i long, x double")
+    assert [r.x for r in panel.interpolate(gap).orderBy("t").collect()] == [2, 2, 4, 6, 6]
+    with pytest.raises(Exception, match="no filter"):
+        graph.drop_zero_filters(spark.createDataFrame([(1, 2, None)], "src long, dst long, b array<double>")).collect()
+    empty = spark.createDataFrame([], "src long, dst long")
+    assert np.isnan(metrics.scores(metrics.confusion(empty, empty, 3)).first().fdr)
+
+
+def test_rank_deciding_scores(spark):
+    d = spark.createDataFrame([(1, 2, 5.0, 0.9), (2, 1, 3.0, 0.8), (1, 3, 2.0, 0.0), (3, 1, 1.0, 0.7)], "src long, dst long, f double, p_edge double")
+    assert {(r.src, r.dst) for r in granger.candidates(d).collect()} == {(1, 2)}
+    assert granger.candidates(d, drop_bidirectional=True).count() == 0
+
+
+def test_sources_and_sinks(spark, tmp_path):
+    (tmp_path / "s").mkdir()
+    (tmp_path / "s/abc.us.txt").write_text("Date,Open,High,Low,Close,Volume,OpenInt\n2020-01-02,1,1,1,2.5,100,0\n")
+    (tmp_path / "s/none.us.txt").write_text("")
+    assert [tuple(r)[0] for r in readers.stocks(spark, str(tmp_path / "s")).collect()] == ["abc"]
+    (tmp_path / "sent.csv").write_text("n,symbol,date,sentiment_signal\n0,ABC,2020-01-02,0.5\n")
+    assert readers.sentiment(spark, str(tmp_path / "sent.csv")).first().symbol == "abc"
+    (tmp_path / "u.csv").write_text("Symbol,Name,Sector\nABC,A,Energy\n")
+    assert readers.universe(spark, str(tmp_path / "u.csv")).first().sector == "Energy"
+    (tmp_path / "two.csv").write_text("Ticker,A,,B\nts,close,volume,close\n2020-01-02 09:30:00,1.5,10,2.5\n2020-01-02 09:31:00,,11,2.6\n")
+    got = {(r.ticker, r.field, r.value) for r in readers.two_row_header(spark, str(tmp_path / "two.csv")).collect()}
+    assert ("A", "volume", 10.0) in got and ("B", "close", 2.6) in got and len(got) == 6
+    (tmp_path / "t.txt").write_text("# co2a\n0 FP1 0 1.5\n0 FP1 1 2.5\n0 FP2 0 3.5\n")
+    assert readers.trial(spark, str(tmp_path / "t.txt"), ["FP1"]).count() == 2
+    (tmp_path / "g.gexf").write_text('<gexf><graph><nodes><node id="a" label="A"/><node id="b" label="B"/></nodes><edges><edge id="0" source="a" target="b"/></edges></graph></gexf>')
+    nodes, edges = readers.gexf(spark, str(tmp_path / "g.gexf"))
+    assert nodes.count() == 2 and tuple(edges.first()) == ("a", "b")
+    assert readers.trading_days(spark, "2020-01-01", "2020-01-07").count() == 5
+    x, b, sv2 = simulate.simulate("scg", 3, 20, 1, 0, 1)
+    sinks.system(spark, str(tmp_path / "sys"), x, b, sv2, q=0.1)
+    assert spark.read.parquet(str(tmp_path / "sys/panel")).count() == 60
+    e = spark.createDataFrame([("s1", 1, 2)], "subject string, src long, dst long")
+    sinks.adjacency(e, str(tmp_path / "adj"))
+    assert readers.adjacency(spark, str(tmp_path / "adj")).count() == 1
+    assert r"\textbf{0.50}" in sinks.latex(spark.createDataFrame([(0.5, True)], "v double, best boolean"), ["v"], {"v": "best"})
+    sinks.errors(e, str(tmp_path / "log"))
+    sinks.errors(e, str(tmp_path / "log"))
+    assert spark.read.json(str(tmp_path / "log")).count() == 2
+    assert spark.range(1).select(readers.subject_class(F.lit("co2a0001"))).first()[0] == "a"
+
+
+def test_monte_carlo(spark):
+    t = experiments.table(experiments.run(experiments.grid(spark, n=(6,), t=(150,), q=(None,), iterations=3, p=1, p_most=3))).collect()
+    assert {r.metric for r in t} == {"mcc", "fdr", "lre"}
+
+
+def test_streams(spark, tmp_path):
+    x, b, _ = simulate.simulate("scg", 3, 40, 2, 0, 2)
+    spark.createDataFrame([("s", t, x[t].tolist()) for t in range(40)], "system string, t long, xs array<double>").write.parquet(str(tmp_path / "in"))
+    steps = spark.readStream.schema("system string, t long, xs array<double>").parquet(str(tmp_path / "in"))
+    q = live.residuals(steps, b, ["0", "1", "2"]).writeStream.format("memory").queryName("res").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
+    q.processAllAvailable()
+    q.stop()
+    got = np.array([r.r for r in spark.table("res").orderBy("t").collect()])
+    assert np.allclose(got, simulate.Var(b).residuals(x))
+    e = spark.readStream.schema(spark.read.parquet("/root/testdata/sf0.001/events.parquet").schema).parquet("/root/testdata/sf0.001/events.parque[t]")
+    q = live.windowed_panel(e, "ts", "event_type", "value").writeStream.format("memory").queryName("win").outputMode("append").option("checkpointLocation", str(tmp_path / "d")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert spark.table("win").count() > 800
