@@ -9,7 +9,7 @@ a source, so a source with a third of all rows costs no more in one task than an
 Defined cases. Null or empty text: size 0, taken 0. Null source: a source of its own, ordered last. Null
 or repeated doc_id: the key also depends on the text; rows alike in both are taken or left together. A
 source without words: target 0. An empty table gives an empty result. Other columns pass through
-untouched; a column named like one of the results is replaced by it.
+untouched, whatever their names; in mix(), a column named like one of the results is replaced by it.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ def word_count(text: Column) -> Column:
 
 def quality_weight(size: Column, text: Column) -> Column:
     """1 for documents of ordinary length and word length; halved for each that is not."""
-    mean = F.length(text) / size
+    mean = F.when(size > 0, F.length(text) / size)
     return (F.when(size.between(50, 100_000), 1.0).otherwise(0.5) * F.when(mean.between(3, 12), 1.0).otherwise(0.5)).cast("double")
 
 
@@ -65,15 +65,17 @@ def targets(sizes: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float
 
 
 def _with_key(docs: DataFrame, quality: str | None) -> DataFrame:
-    docs = docs.drop(*OUT).withColumn("size", word_count(F.col("text")))
-    w = F.greatest(F.lit(LEAST_WEIGHT), F.least(F.lit(1.0), F.coalesce(F.col(quality).cast("double"), F.lit(1.0)))) if quality else quality_weight(F.col("size"), F.coalesce(F.col("text"), F.lit("")))
-    return docs.withColumn("_w", F.coalesce(w, F.lit(LEAST_WEIGHT))).withColumn("_key", _key(F.col("doc_id"), F.col("text"), F.col("_w"))).drop("_w")
+    """doc_id, source, size, key, and the whole row apart, so that no name of its columns can clash."""
+    d = docs.select("doc_id", "source", "text", (F.col(f"`{quality}`").cast("double") if quality else F.lit(None).cast("double")).alias("_w"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    d = d.withColumn("size", word_count(F.col("text")))
+    w = F.greatest(F.lit(LEAST_WEIGHT), F.least(F.lit(1.0), F.coalesce("_w", F.lit(1.0)))) if quality else quality_weight(F.col("size"), F.coalesce(F.col("text"), F.lit("")))
+    return d.withColumn("_w", F.coalesce(w, F.lit(LEAST_WEIGHT))).withColumn("_key", _key(F.col("doc_id"), F.col("text"), F.col("_w"))).select("doc_id", "source", "size", "_key", "_row")
 
 
-def mix(docs: DataFrame, *, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0, quality: str | None = None, thin: bool = False) -> DataFrame:
+def mix(docs: DataFrame, *, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0, quality: str | None = None, thin: bool = False, packed: bool = False) -> DataFrame:
     """``docs`` with size, source_size, target and taken. quality: a column of weights, clipped to [LEAST_WEIGHT, 1].
 
-    thin: keep doc_id and source alone, so that the text is read once.
+    thin: keep doc_id and source alone, so that the text is read once. packed: keep the row as one column, _row.
     """
     keyed = _with_key(docs, quality)
     rows = materialize(keyed.select("doc_id", "source", "size", "_key"), "keys")
@@ -97,11 +99,12 @@ def mix(docs: DataFrame, *, weights=(5, 2, 1), share: float = 1.5, cap: float =
     plan = materialize(plan.select(F.col("source").alias("_s"), "source_size", "target", "epochs", "slot", "cut"), "plan")
     slot = _slot(F.col("_key"), 2 * BITS)
     chosen = (F.col("slot").isNull() | (slot < F.col("slot")) | ((slot == F.col("slot")) & (F.col("_key") <= F.col("cut"))))
-    kept = [f"`{x}`" for x in docs.columns if x not in OUT] if not thin else ["doc_id", "source"]
+    kept = ["doc_id", "source"] if thin else ["_row"]
     own = rows if thin else keyed
     joined = own.join(guarded(plan), F.col("source").eqNullSafe(F.col("_s")), "inner")
     taken = F.col("size") * (F.col("epochs") + F.when(F.coalesce(chosen, F.lit(False)), 1).otherwise(0))
-    return joined.select(*kept, "size", "source_size", "target", taken.cast("long").alias("taken"))
+    out = joined.select(*kept, "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return out if thin or packed else out.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns if c not in OUT], *OUT)
 
 
 def _descend(rows: DataFrame, bound: DataFrame, bits: int) -> DataFrame:
@@ -117,11 +120,12 @@ def _descend(rows: DataFrame, bound: DataFrame, bits: int) -> DataFrame:
     return first.select("_s", F.col("x.budget").alias("budget"), F.col("x.at").alias("slot"), (F.col("x.run") - F.col("x.size")).alias("before"))
 
 
-def repeat_taken(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """The mix itself: each document as often as it was taken, with the given columns."""
+def mixture(docs: DataFrame, **how) -> DataFrame:
+    """The mix itself: each document as often as it was taken, with the columns that it had."""
+    mixed = mix(docs, packed=True, **how)
     times = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0).cast("int")
-    copies = mixed.withColumn("_times", times).filter("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-    return copies.select(*[f"`{x}`" for x in columns])
+    copies = mixed.withColumn("_times", times).filter("_times > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    return copies.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
 
 
 ORACLE = r"""

@@ -48,6 +48,8 @@ LOOKALIKE = dict(zip(
     "аеорсхуіјѕԁһкмтвнАВЕКМНОРСТХІЈЅУοανερτυικΑΒΕΖΗΙΚΜΝΟΡΤΥΧ",
     "aeopcxyijsdhkmtbhABEKMHOPCTXIJSYoaveptuikABEZHIKMNOPTYX",
 ))
+# Last parts of host names that make "at" and "dot" in prose a disguise.
+TOP_LEVEL = frozenset("com org net edu gov mil int info biz name io co ai app dev me tv eu us uk de fr es it nl be at ch pl se no fi dk pt ie ru ua cn jp kr in br mx ar ca au nz za".split())
 _HIDDEN = "­​‌‍⁠﻿"
 _ODD = re.compile("[­Ͱ-ԯ٠-٩۰-۹०-९​-‍‐-―․⁠−①-⓿。﹒﹫﻿！-～\U0001d400-\U0001d7ff]")
 _EXTRA = {"。": ".", "․": ".", "‐": "-", "‑": "-", "‒": "-", "–": "-", "—": "-", "―": "-", "−": "-"}
@@ -164,8 +166,8 @@ def deobfuscate(text: str) -> Rewritten | None:
     edits = []
     for m in _PROSE.finditer(r.text):
         dots = list(_PROSE_DOT.finditer(r.text, m.start(2) - 1, m.end(2)))
-        if not dots and m[1]:
-            continue  # "at" in prose before a dotted name is no disguise
+        if m[1] and (not dots or re.split(r"[ .]", m[2])[-1].lower() not in TOP_LEVEL):
+            continue  # "at" in prose before a dotted name, or before no host name, is no disguise
         edits += [(m.start(1), m.end(1), "@")] if m[1] else []
         edits += [(d.start(), d.end(), ".") for d in dots]
     r.put(edits)

@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -152,16 +152,19 @@ def deduplicate(docs: DataFrame, **how) -> DataFrame:
     Documents without a doc_id form a group only among themselves, as any other.
     """
     marked = near_duplicates(docs, **how).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(marked, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    # The row goes apart, so that no name of its columns can clash.
+    rows = docs.select("doc_id", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    kept = rows.join(marked, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    back = [F.col("_row").getField(c).alias(c) for c in docs.columns]
     # A doc_id is a row as a rule; rows that share one are told apart by a hash of what they hold.
-    code = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    code = F.xxhash64("_row")
     first = kept.select("doc_id", code.alias("_code")).groupBy(F.col("doc_id").alias("_id")).agg(F.min("_code").alias("_code"), F.count("*").alias("_n"))
-    clash = materialize(first.filter("_n > 1"), "clashes")
+    clash = materialize(first.filter("_n > 1").select("_id", "_code"), "clashes")
     if not clash.limit(1).count():
-        return kept
-    joined = kept.withColumn("_own", code).join(guarded(clash), F.col("doc_id").eqNullSafe(F.col("_id")), "left").filter("_id IS NULL OR _own = _code")
-    one = joined.filter("_id IS NOT NULL").dropDuplicates(["doc_id"])
-    return joined.filter("_id IS NULL").union(one).select(*[f"`{c}`" for c in docs.columns])
+        return kept.select(*back)
+    joined = kept.withColumn("_own", code).join(guarded(clash.withColumn("_shared", F.lit(True))), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    one = joined.filter("_shared AND _own = _code").groupBy("_id", "_own").agg(F.first("_row").alias("_row"))
+    return joined.filter("_shared IS NULL").select("_row").union(one.select("_row")).select(*back)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

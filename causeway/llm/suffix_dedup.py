@@ -213,20 +213,18 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard: int
     texts = _keyed(docs).filter(F.octet_length("text") >= window)
     found = materialize(_find(texts, window, gram), "pieces")
     release(spark)
-    counted = found.groupBy("gram", "digest").agg(F.sum("times").alias("c"))
-    grams = counted.groupBy("gram").agg(F.count("*").alias("kinds"), F.sum("c").alias("all"))
+    counted = found.groupBy("gram", "digest").agg(F.sum("times").alias("c"), F.max("n").alias("n"))
+    grams = counted.groupBy("gram").agg(F.count("*").alias("kinds"), F.sum("c").alias("all"), F.sum(F.col("n") + window - 1).alias("bytes"))
     wanted = materialize(grams.filter("all > 1"), "grams")
     release(spark)
-    hits = materialize(found.join(wanted.select("gram", "kinds"), "gram"), "hits")
+    hits = materialize(found.join(wanted.select("gram", "kinds", "bytes"), "gram"), "hits")
     release(spark)
-    counted = hits.groupBy("gram", "digest").agg(F.count("*").alias("c"), F.min(F.struct("t1", "t2", "s", "n", "times", "kinds")).alias("x"))
+    counted = hits.groupBy("gram", "digest").agg(F.count("*").alias("c"), F.min(F.struct("t1", "t2", "s", "n", "times", "kinds", "bytes")).alias("x"))
     counted = materialize(counted.select("gram", "digest", "c", "x.*"), "kinds")
     twice = hits.join(counted.filter("c > 1").select("gram", "digest"), ["gram", "digest"], "left_semi").select("t1", "t2", "s", (F.col("s") + F.col("n")).alias("e")).distinct()
     whole = materialize(twice, "twice")
     release(spark)
     various = counted.filter("kinds > 1 OR c = 1 AND times > 1")
-    weight = various.groupBy("gram").agg(F.sum(F.col("n") + window - 1).alias("bytes"))
-    various = various.join(weight, "gram")
     want = various.groupBy("t1", "t2").agg(F.collect_list(F.struct("s", "n", "gram", "digest", "c", "bytes")).alias("want"))
     laid = materialize(_cut(_once(texts, want), window), "laid")
     release(spark)

@@ -76,7 +76,7 @@ def best(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k:
         top = np.argpartition(-bound, few - 1, axis=1)[:, :few] if few < len(c) else np.broadcast_to(np.arange(len(c)), (len(own), len(c)))
         first = np.einsum("qd,qkd->qk", own, c[top])
         floor = np.where((ids[:, None] == c_ids[top]).any(1) | (few < k), -np.inf, first.min(1))
-        alive = bound >= floor[:, None]
+        alive = (bound >= floor[:, None]) & (bound > -np.inf)
         for s in range(1, len(SEGMENTS)):
             if alive.mean() < 0.05:
                 i, j = np.nonzero(alive)

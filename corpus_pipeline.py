@@ -30,7 +30,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of sources: each document as often as it is taken, so not at all, once or twice."""
-    return mixing.repeat_taken(mixing.mix(docs), docs.columns)
+    return mixing.mixture(docs)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
