@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scg
-from ..operators import covariance, granger, graph, metrics, panel, refit, simulate
+from ..operators import covariance, diagnostics, granger, graph, metrics, panel, refit, simulate
 from . import classify, experiments, pipeline
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -599,6 +599,28 @@ def ar_baseline_oos(spark, sf_dir):
     return refit.ar_baseline(s, 5, t * 2 // 3)
 
 
+@query()
+def stationarity(spark, sf_dir):
+    return diagnostics.stationarity(_series(spark, sf_dir)[0])
+
+
+@query()
+def heavy_tails(spark, sf_dir):
+    return diagnostics.heavy_tails(_series(spark, sf_dir)[0])
+
+
+@query()
+def out_of_sample_demo(spark, sf_dir):
+    s, n, t = _series(spark, sf_dir)
+    edges = pipeline.recover(pipeline.tests(s, n, t, 5))
+    return diagnostics.out_of_sample(graph.with_loops(edges, s.select("i")), s, 5, t * 2 // 3)
+
+
+@query()
+def frequency_response(spark, sf_dir):
+    return diagnostics.frequency_response(spark, simulate.simulate("scg", 4, 10, 2, 0, 3)[1], 16)
+
+
 def _trials(spark, sf_dir) -> DataFrame:
     """Days of the events panel as trials, weeks as subjects."""
     p = panel.zscore(events_panel(spark, sf_dir)).withColumn("trial", F.floor(F.col("t") / 72)).withColumn("subject", F.floor(F.col("trial") / 2))

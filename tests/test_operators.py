@@ -125,3 +125,22 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("win").count() > 800
+
+
+def test_diagnostics(spark):
+    from causeway.operators import diagnostics
+
+    rng = np.random.default_rng(0)
+    walk, noise = rng.normal(size=800).cumsum(), rng.normal(size=800)
+    assert diagnostics.adf_statistic(noise, 3)[0] < -8 and diagnostics.adf_statistic(walk, 3)[0] > -3.5
+    nu, mu, sigma = diagnostics.student_t_fit(rng.standard_t(3, 5000) * 2 + 1)
+    assert 2 < nu < 4.5 and abs(mu - 1) < 0.15 and abs(sigma - 2) < 0.2
+    assert np.isnan(diagnostics.student_t_fit(np.ones(9))[0]) and np.isnan(diagnostics.adf_statistic(np.ones(90), 2)[0])
+
+
+def test_registered_functions(spark):
+    from causeway.functions import udfs
+
+    udfs.register(spark)
+    r = spark.sql("SELECT chi2_cdf(3.0D, 2.0D) a, f_cdf(1.0D, 2.0D, 10.0D) b, t_cdf(0.0D, 5.0D) c, edge_probability(3.0D, 2.0D) d").first()
+    assert r.a == pytest.approx(1 - np.exp(-1.5)) and r.b == pytest.approx(1 - 1.2**-5) and r.c == pytest.approx(0.5) and r.d == r.a
