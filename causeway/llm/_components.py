@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import materialize
+from ._shared import map_arrow, materialize
 
 MOST_ROUNDS = 60
 
@@ -41,7 +41,7 @@ def contract(links: DataFrame) -> DataFrame:
                 a, b = forest(batch.column(0).to_numpy(), batch.column(1).to_numpy())
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return links.select("a", "b").mapInArrow(apply, "a long, b long")
+    return map_arrow(links.select("a", "b"), apply, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:

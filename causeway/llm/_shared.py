@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import sys
 import tempfile
 import uuid
 
@@ -11,12 +14,21 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Workers live on from task to task. Large arrays are given back to the system when they are freed (by default
+# their memory stays with the process, more so with every size in use), as are Arrow's buffers.
+if sys.platform == "linux":
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+    pa.set_memory_pool(pa.system_memory_pool())
+
 #: A word is a maximal run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows up to which a table of one short row per group may be broadcast.
 BROADCAST_ROWS = 100_000
 #: Text bytes that a numpy kernel works on at once (one longer text is taken alone).
 CHUNK_BYTES = 2_000_000
+#: Bytes of an Arrow batch on its way to a worker.
+BATCH_BYTES = 4_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,6 +52,17 @@ def materialize(df: DataFrame, label: str, compression: str = "snappy") -> DataF
     return spark.read.schema(df.schema).parquet(path)
 
 
+def map_arrow(df: DataFrame, f, schema) -> DataFrame:
+    """df.mapInArrow with batches of bounded bytes, which 10,000 long texts are not.
+
+    The session's bound is lowered to BATCH_BYTES unless the user has lowered it already.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int((conf.get(name, None) or "67108864").rstrip("b")) >= 67108864:
+        conf.set(name, str(BATCH_BYTES))
+    return df.mapInArrow(f, schema)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of finished steps, which else stay until the driver collects its garbage."""
     spark.sparkContext._jvm.System.gc()

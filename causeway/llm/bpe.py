@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from ._pieces import PieceTable, gather
-from ._shared import slices
+from ._shared import map_arrow, slices
 
 STEPS, LONG = 24, 48
 #: Words that a worker keeps, and new words that a query takes at once (by bytes).
@@ -191,7 +191,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None)
                 ids, at = own.encode(part.column("text"))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))], [*part.schema.names, "ids"])
 
-    return docs.mapInArrow(apply, schema)
+    return map_arrow(docs, apply, schema)
 
 
 def decode(tokens: DataFrame, path: str | None = None) -> DataFrame:
@@ -208,7 +208,7 @@ def decode(tokens: DataFrame, path: str | None = None) -> DataFrame:
                 ids = [np.array(x.as_py() or [], np.int64) for x in part.column("ids")]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(own.decode(ids), pa.binary())], [*part.schema.names, "decoded"])
 
-    return tokens.mapInArrow(apply, schema)
+    return map_arrow(tokens, apply, schema)
 
 
 def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -225,7 +225,7 @@ def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None
                 cols = [part.column("doc_id"), pa.array(np.diff(at), pa.int64()), pa.array(sha(ids.astype("<u4"), at), pa.string()), pa.array(sha(raw, raw_at), pa.string())]
                 yield pa.RecordBatch.from_arrays(cols, schema.fieldNames())
 
-    return docs.select("doc_id", "text").mapInArrow(apply, schema)
+    return map_arrow(docs.select("doc_id", "text"), apply, schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

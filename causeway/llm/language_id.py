@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import as_bytes, crc_mod, fraction, guarded, materialize, slices
+from ._shared import as_bytes, crc_mod, fraction, guarded, map_arrow, materialize, slices
 
 ORDER = 4
 DOCS, LONGEST = 400, 200_000
@@ -157,7 +157,7 @@ def identify(docs: DataFrame, model: tuple[list[str], list[Tree]] | None = None)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    out = docs.select("doc_id", "text").mapInArrow(apply, f"doc_id {kind}, lang_pred string, score double")
+    out = map_arrow(docs.select("doc_id", "text"), apply, f"doc_id {kind}, lang_pred string, score double")
     return out.select("doc_id", (crc_mod("doc_id", 4) == HELD_OUT).alias("held_out"), "lang_pred", "score")
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import slices
+from ._shared import map_arrow, slices
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
@@ -227,7 +227,7 @@ def detect(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *n, sha, pa.array([joined(m) for _, m in rows], pa.string()), added], ["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans", "n_added"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(apply, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return map_arrow(docs.select("doc_id", "text"), apply, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
 
 
 def redact_text(text: str | None) -> str | None:
@@ -255,7 +255,7 @@ def redact(docs: DataFrame) -> DataFrame:
                 cols[i] = pa.array([redact_text(x) for x in cols[i].to_pylist()], cols[i].type)
                 yield pa.RecordBatch.from_arrays(cols, part.schema.names)
 
-    out = docs.mapInArrow(apply, T.StructType(fields))
+    out = map_arrow(docs, apply, T.StructType(fields))
     return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))) if "n_chars" in docs.columns else out
 
 

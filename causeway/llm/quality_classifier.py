@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _words as words
-from ._shared import as_bytes, crc_mod, fraction, slices
+from ._shared import as_bytes, crc_mod, fraction, map_arrow, slices
 
 #: Bounds of the training sample, and of a text in it.
 SAMPLE, SAMPLE_BYTES, LONGEST = 4000, 12_000_000, 100_000
@@ -131,7 +131,7 @@ def scored(docs: DataFrame, labels: DataFrame, model: tuple[np.ndarray, float] |
                 s = score_batch(part.column("text"), shared.value, bias)
                 yield pa.RecordBatch.from_arrays([*[part.column(x) for x in names], pa.array(s, pa.float64())], [*names, "score"])
 
-    out = docs.mapInArrow(apply, T.StructType([*keep, T.StructField("score", T.DoubleType())]))
+    out = map_arrow(docs, apply, T.StructType([*keep, T.StructField("score", T.DoubleType())]))
     return out.select(*[f"`{f.name}`" for f in keep], (crc_mod("doc_id", 5) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
@@ -145,7 +145,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, model: tuple[np.ndarray, float
             for part in slices(batch):
                 yield part.filter(pa.array(score_batch(part.column("text"), shared.value, bias) >= THRESHOLD))
 
-    return docs.mapInArrow(apply, docs.schema)
+    return map_arrow(docs, apply, docs.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._components import components, forest
-from ._shared import guarded, materialize, slices
+from ._shared import guarded, map_arrow, materialize, slices
 
 SHINGLE, SEED, RADIUS, BUCKET = 4, 42, 4, 256
 
@@ -79,7 +79,7 @@ def with_fingerprint(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 fp = fingerprints([(x or "").encode() for x in part.column("text").to_pylist()], shingle)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(apply, T.StructType([docs.schema["doc_id"], T.StructField("fp", T.LongType())]))
+    return map_arrow(docs.select("doc_id", "text"), apply, T.StructType([docs.schema["doc_id"], T.StructField("fp", T.LongType())]))
 
 
 def _near(buckets: DataFrame, radius: int) -> DataFrame:
@@ -94,7 +94,7 @@ def _near(buckets: DataFrame, radius: int) -> DataFrame:
                     a, b = forest(x[i], x[j])
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return buckets.select("fps").mapInArrow(apply, "a long, b long")
+    return map_arrow(buckets.select("fps"), apply, "a long, b long")
 
 
 def links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _words as words
-from ._shared import as_bytes, materialize, release, slices
+from ._shared import as_bytes, map_arrow, materialize, release, slices
 
 WINDOW, GRAM = 400, 160
 #: Most windows in a piece; bytes in a shard; window digests in a range.
@@ -184,7 +184,7 @@ def _find(texts: DataFrame, window: int, gram: int) -> DataFrame:
                 own = [part.column(c).to_numpy()[doc] for c in ("t1", "t2")]
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (*own, *rest)], ["t1", "t2", "s", "n", "times", "gram", "digest"])
 
-    return texts.select("t1", "t2", "text").mapInArrow(apply, _PIECE)
+    return map_arrow(texts.select("t1", "t2", "text"), apply, _PIECE)
 
 
 def _cut(wanted: DataFrame, window: int) -> DataFrame:
@@ -204,7 +204,7 @@ def _cut(wanted: DataFrame, window: int) -> DataFrame:
                     cols = list(zip(*out[a : a + 4096]))
                     yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:7]], pa.array(cols[7], pa.binary())], ["t1", "t2", "s", "gram", "digest", "c", "bytes", "piece"])
 
-    return wanted.select("t1", "t2", "text", "want").mapInArrow(apply, "t1 long, t2 long, s long, gram long, digest long, c long, bytes long, piece binary")
+    return map_arrow(wanted.select("t1", "t2", "text", "want"), apply, "t1 long, t2 long, s long, gram long, digest long, c long, bytes long, piece binary")
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
@@ -339,7 +339,7 @@ def remove(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard: int =
                 arrays = [*[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3], pa.string()), *([pa.array(cols[4], pa.binary())] if with_text else [])]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *arrays], schema.fieldNames())
 
-    return joined.mapInArrow(apply, schema)
+    return map_arrow(joined, apply, schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

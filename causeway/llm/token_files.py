@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._pieces import PieceTable, gather
-from ._shared import guarded, materialize, new_table_path, release, slices
+from ._shared import guarded, map_arrow, materialize, new_table_path, release, slices
 
 END_ID = 2
 LANES, CHECKPOINT, BLOCK = 1024, 256, 400_000
@@ -239,7 +239,7 @@ def token_ids(docs: DataFrame, path: str | None = None, end_id: int = END_ID) ->
                 cells = [small[a:b].tobytes() for a, b in zip(at[:-1], at[1:])]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tie"), pa.array(np.diff(at), pa.int64()), pa.array(cells, pa.binary())], ["doc_id", "tie", "n", "ids"])
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("tie")).mapInArrow(apply, schema)
+    return map_arrow(docs.select("doc_id", "text", F.xxhash64("text").alias("tie")), apply, schema)
 
 
 def _unpack(n: np.ndarray, cells: pa.Array) -> np.ndarray:
@@ -262,7 +262,7 @@ def count_ids(rows: DataFrame) -> Frequencies:
         ids = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total[ids], pa.int64())], ["id", "c"])
 
-    counts = rows.select("n", "ids").mapInArrow(apply, "id long, c long").groupBy("id").agg(F.sum("c").alias("c")).collect()  # one row an id of the vocabulary
+    counts = map_arrow(rows.select("n", "ids"), apply, "id long, c long").groupBy("id").agg(F.sum("c").alias("c")).collect()  # one row an id of the vocabulary
     return Frequencies(np.array([r["id"] for r in counts], np.int64), np.array([r["c"] for r in counts], np.int64))
 
 
@@ -304,7 +304,7 @@ def write_files(docs: DataFrame, path: str | None = None, to: str | None = None,
             yield flush()
 
     order = ["doc_id", "tie"]
-    dealt = rows.repartitionByRange(files, *order).sortWithinPartitions(*order).mapInArrow(apply, "file int, block int, n long, payload binary")
+    dealt = map_arrow(rows.repartitionByRange(files, *order).sortWithinPartitions(*order), apply, "file int, block int, n long, payload binary")
     dealt.write.option("compression", "uncompressed").parquet(to)
     release(spark)
     return to, table
@@ -324,7 +324,7 @@ def read_files(spark: SparkSession, where: str, table: Frequencies) -> DataFrame
                 cols = [pa.array([file] * len(n), pa.int32()), pa.array(doc_ids, pa.int64()), pa.array(before + end - n, pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64())]
                 yield pa.RecordBatch.from_arrays(cols, ["file", "doc_id", "at", "n_tokens", "ids_crc32"])
 
-    found = blocks.select("file", "payload").mapInArrow(apply, "file int, doc_id long, at long, n_tokens long, ids_crc32 long")
+    found = map_arrow(blocks.select("file", "payload"), apply, "file int, doc_id long, at long, n_tokens long, ids_crc32 long")
     # One row a file, of FILE ids or so
     w = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     offset = blocks.groupBy("file").agg(F.sum("n").alias("n")).select(F.col("file").alias("_file"), F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before"))
