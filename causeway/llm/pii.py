@@ -194,7 +194,10 @@ def spans(text: str | None) -> tuple[dict[str, list[tuple[int, int]]], dict[str,
     more = {k: list(v) for k, v in base.items()}
     r = deobfuscate(text)
     if r is not None and r.new.any():
-        taken = sorted(s for v in base.values() for s in v)
+        # a byte a character: a lookup costs as much as a span is long, however many spans there are
+        taken = bytearray(len(text))
+        for x, y in (s for v in base.values() for s in v):
+            taken[x:y] = b"\1" * (y - x)
         for k, found in base_spans(r.text).items():
             for a, b in found:
                 if not r.new[a:b].any():
@@ -203,9 +206,9 @@ def spans(text: str | None) -> tuple[dict[str, list[tuple[int, int]]], dict[str,
                 # a spelled-out word swallows the separator before it; a span starts at its word
                 while s < e and text[s] in " ,-\t\n":
                     s += 1
-                if not any(x < e and s < y for x, y in taken):
+                if taken.find(1, s, e) < 0:
                     more[k].append((s, e))
-                    taken.append((s, e))
+                    taken[s:e] = b"\1" * (e - s)
             more[k].sort()
     return base, more
 

@@ -53,7 +53,11 @@ def counts(docs: DataFrame) -> DataFrame:
     pack = "transform(sequence(0, n - 3), i -> shiftleft(xxhash64(words[i], words[i + 1], words[i + 2]), shift) | i)"
     d = d.withColumn("packed", F.expr(f"CASE WHEN n >= 4 THEN sort_array({pack}) ELSE array() END"))
     d = d.withColumn("m", F.size("packed"))
-    same = "zip_with(slice(packed, 1, greatest(m - 1, 0)), slice(packed, 2, greatest(m - 1, 0)), (a, b) -> shiftright(a, shift) = shiftright(b, shift))"
+    # Long texts leave few bits to the hash, so windows of equal hashes are compared by their words.
+    d = d.withColumn("low", F.expr("shiftleft(1L, shift) - 1"))
+    place = lambda x, k: f"words[cast({x} & low as int) + {k}]"
+    alike = " AND ".join(f"{place('a', k)} = {place('b', k)}" for k in range(3))
+    same = f"zip_with(slice(packed, 1, greatest(m - 1, 0)), slice(packed, 2, greatest(m - 1, 0)), (a, b) -> shiftright(a, shift) = shiftright(b, shift) AND {alike})"
     d = d.withColumn("same", F.expr(f"CASE WHEN m >= 2 THEN {same} ELSE array() END"))
     d = d.withColumn("any_same", F.array_contains("same", True))
     twice = "filter(zip_with(packed, zip_with(array_append(same, false), array_prepend(same, false), (a, b) -> a OR b), (p, s) -> IF(s, p & (shiftleft(1L, shift) - 1), -1L)), p -> p >= 0)"

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -468,6 +469,13 @@ def test_long_runs_are_linear():
         pii.spans(t)
 
 
+def test_many_spans_are_linear():
+    t = " ".join(f"u{k}@ex.com and joe{k} [at] site [dot] org," for k in range(8000))
+    began = time.process_time()
+    base, every = pii.spans(t)
+    assert len(base["email"]) == 8000 and len(every["email"]) == 16_000 and time.process_time() - began < 20
+
+
 def test_personal_data_frames(spark, hard):
     got = {(r.doc_id, r.n_email, r.n_ip, r.n_card, r.n_phone) for r in pii.detect(hard).collect()}
     assert (9, 1, 1, 1, 1) in got and (1, 0, 0, 0, 0) in got
