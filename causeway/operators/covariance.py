@@ -40,8 +40,9 @@ def tiles(series: DataFrame, nodes: int, size: int = TILE) -> DataFrame:
 
 
 def numbered(series: DataFrame) -> DataFrame:
-    """k = 0.. in order of i: one row a series is ranked, not the panel."""
-    return series.select((F.row_number().over(Window.orderBy("i")) - 1).alias("k"), "i", "xs")
+    """k = 0.. in order of i. Names alone are ranked, one row a series; values never meet in one task."""
+    places = series.select("i", (F.row_number().over(Window.orderBy("i")) - 1).alias("k"))
+    return series.join(places, "i").select("k", "i", "xs")
 
 
 def tiled_autocovariance(series: DataFrame, nodes: int, p: int, size: int = TILE) -> DataFrame:

@@ -79,11 +79,20 @@ def multiclass_mcc(rows: DataFrame, truth: str, guess: str) -> DataFrame:
 def stratified_split(rows: DataFrame, label: str, key: str, test: float = 0.2) -> DataFrame:
     """rows with is_test: the same share of every label, chosen by a hash of the key.
 
-    md5 orders the rows of a label; a label with very many rows is ranked within one task.
+    md5 orders the rows of a label. Rows are ranked within ranges of md5 and shifted by the rows of the ranges
+    before, so that a label with most of the rows is ranked by many tasks.
     """
-    w = Window.partitionBy(label)
-    rank = F.row_number().over(w.orderBy(F.md5(F.col(key).cast("string").cast("binary")), key))
-    return rows.withColumn("is_test", rank <= F.ceil(F.count("*").over(w) * F.lit(test)))
+    code = F.md5(F.col(key).cast("string").cast("binary"))
+    # The row goes apart, so that no name of its columns can clash.
+    dealt = rows.select(F.struct("*").alias("row"), F.col(label).alias("label"), F.col(key).alias("key"), code.alias("code"))
+    dealt = dealt.withColumn("range", F.coalesce(F.substring("code", 1, 2), F.lit("")))
+    w = Window.partitionBy("of")
+    sizes = dealt.groupBy(F.col("label").alias("of"), F.col("range").alias("at")).agg(F.count("*").alias("n"))
+    before = F.sum("n").over(w.orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
+    sizes = sizes.select("of", "at", before.alias("before"), F.sum("n").over(w).alias("total"))
+    own = F.row_number().over(Window.partitionBy("label", "range").orderBy("code", "key"))
+    ranked = dealt.withColumn("own", own).join(sizes, F.col("label").eqNullSafe(F.col("of")) & (F.col("range") == F.col("at")))
+    return ranked.select("row.*", (F.col("own") + F.col("before") <= F.ceil(F.col("total") * F.lit(test))).alias("is_test"))
 
 
 def pivot_metrics(results: DataFrame, keys: list[str], metric: str = "metric", value: str = "value", names: list[str] | None = None) -> DataFrame:

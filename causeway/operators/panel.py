@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+
 def by_time():
     """Each series in order of time."""
     return Window.partitionBy("i").orderBy("t")
@@ -55,8 +58,11 @@ def log_return(panel: DataFrame) -> DataFrame:
 
 
 def ewm_mean(panel: DataFrame, halflife: float, reach: int | None = None) -> DataFrame:
-    """Exponentially weighted mean with adjusted weights, over the last `reach` values if given."""
-    w = by_time().rowsBetween(Window.unboundedPreceding if reach is None else 1 - reach, 0)
+    """Exponentially weighted mean with adjusted weights, over the last `reach` values.
+
+    By default 128 half-lives: what lies before weighs less than 2 ** -128, so a step costs the same in any series.
+    """
+    w = by_time().rowsBetween(1 - (reach or max(1, math.ceil(128 * halflife))), 0)
     keep = 0.5 ** (1 / halflife)
     seen = F.collect_list("x").over(w)
     at = lambda a: F.aggregate(a, F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("w")), lambda c, x: F.struct((c.s * keep + x).alias("s"), (c.w * keep + 1).alias("w")), lambda c: c.s / c.w)

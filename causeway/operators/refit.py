@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import autoregression as ar
 from . import graph
 
+#: Values of all series together (8 bytes each) up to which they are broadcast.
+SHARED_VALUES = 4_000_000
+
 
 def estimate(edges: DataFrame, series: DataFrame, p: int, method: str = "lstsqr", most: int | None = None) -> DataFrame:
     """dst, sv2_hat, r (residuals), srcs and b (one filter of p lags a source).
@@ -17,8 +20,17 @@ def estimate(edges: DataFrame, series: DataFrame, p: int, method: str = "lstsqr"
     most: fit on the first `most` rows of the lagged matrix and take residuals on the rest; else in sample.
     A node without predecessors keeps its variance.
     """
-    kind = dict(series.dtypes)["i"]
-    own = series.select(F.col("i").alias("dst"), F.col("xs").alias("y")).join(graph.parents(edges, series), "dst", "left")
+    kind, spark = dict(series.dtypes)["i"], series.sparkSession
+    own = series.select(F.col("i").alias("dst"), F.col("xs").alias("y"))
+    # Where all series together are small (counted first), each task gets them once; else they are joined to the edges.
+    size = series.agg(F.sum(F.size("xs"))).first()[0] or 0
+    shared = None
+    if size <= SHARED_VALUES:
+        shared = spark.sparkContext.broadcast({r["i"]: np.asarray(r["xs"], float) for r in series.select("i", "xs").toLocalIterator()})
+        names = edges.join(series.select(F.col("i").alias("src")), "src", "left_semi").groupBy("dst").agg(F.array_sort(F.collect_list("src")).alias("names"))
+        own = own.join(names, "dst", "left")
+    else:
+        own = own.join(graph.parents(edges, series), "dst", "left")
 
     def apply(batches):
         for pdf in batches:
@@ -26,11 +38,13 @@ def estimate(edges: DataFrame, series: DataFrame, p: int, method: str = "lstsqr"
             for r in pdf.itertuples():
                 y = np.asarray(r.y, float)
                 names, b, res = [], [], y[(most or 0) + p :]
-                if r.parents is None or not len(r.parents):
+                from_ = r.parents if shared is None else r.names
+                if from_ is None or not len(from_):
                     rows.append((r.dst, float(np.var(y)), res, names, b))
                     continue
-                names = [s["src"] for s in r.parents]
-                x, t = ar.lagged(np.stack([np.asarray(s["xs"], float) for s in r.parents], 1), y, p)
+                names = [s["src"] for s in from_] if shared is None else list(from_)
+                values = [np.asarray(s["xs"], float) for s in from_] if shared is None else [shared.value[s] for s in names]
+                x, t = ar.lagged(np.stack(values, 1), y, p)
                 w = ar.fit(method, x[:most], t[:most], p)
                 res = t[most:] - x[most:] @ w
                 rows.append((r.dst, float(np.var(res)) if len(res) else float("nan"), res, names, [w[k * p : (k + 1) * p] for k in range(len(names))]))

@@ -144,3 +144,35 @@ def test_registered_functions(spark):
     udfs.register(spark)
     r = spark.sql("SELECT chi2_cdf(3.0D, 2.0D) a, f_cdf(1.0D, 2.0D, 10.0D) b, t_cdf(0.0D, 5.0D) c, edge_probability(3.0D, 2.0D) d").first()
     assert r.a == pytest.approx(1 - np.exp(-1.5)) and r.b == pytest.approx(1 - 1.2**-5) and r.c == pytest.approx(0.5) and r.d == r.a
+
+
+def test_refit_is_alike_by_broadcast_and_by_join(system, monkeypatch):
+    _, _, s = system
+    edges = graph.complete(s.select("i"))
+    key = lambda: {r.dst: (round(r.sv2_hat, 9), r.srcs, np.round(r.b, 9).tolist()) for r in refit.estimate(edges, s, 2, most=300).collect()}
+    small = key()
+    monkeypatch.setattr(refit, "SHARED_VALUES", 0)
+    assert key() == small and len(small) == 7
+
+
+def test_default_reach_of_weighted_means(spark):
+    x = np.random.default_rng(3).normal(size=500)
+    d = spark.createDataFrame([(t, 0, float(v)) for t, v in enumerate(x)], "t long, i long, x double")
+    got = [r.x for r in panel.ewm_mean(d, 1.5).orderBy("t").collect()]
+    w = 0.5 ** (np.arange(500) / 1.5)
+    want = [(w[: t + 1] * x[t::-1]).sum() / w[: t + 1].sum() for t in range(500)]
+    assert np.allclose(got, want, rtol=1e-12, atol=1e-14)
+
+
+def test_split_of_a_hot_label(spark):
+    d = spark.createDataFrame([(k, None if k % 50 == 0 else "a" if k % 7 else "b", k) for k in range(2000)], "key long, label string, _n long")
+    rows = metrics.stratified_split(d, "label", "key").collect()
+    assert sorted(r.key for r in rows) == list(range(2000)) and rows[0].asDict().keys() == {"key", "label", "_n", "is_test"}
+    for label in (None, "a", "b"):
+        own = [r for r in rows if r.label == label]
+        assert sum(r.is_test for r in own) == -(-len(own) // 5)
+
+
+def test_tiles_rank_names_alone(system):
+    _, _, s = system
+    assert sorted((r.k, r.i) for r in covariance.numbered(s).collect()) == [(k, k) for k in range(7)]
