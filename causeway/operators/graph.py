@@ -113,6 +113,11 @@ def coefficient_errors(true: DataFrame, found: DataFrame) -> DataFrame:
     return j.select("src", "dst", F.zip_with(F.coalesce("bt", zero), F.coalesce("bf", zero), lambda a, b: F.coalesce(a, F.lit(0.0)) - F.coalesce(b, F.lit(0.0))).alias("err"))
 
 
+def lagged_entries(edges: DataFrame) -> DataFrame:
+    """lag (from 1), dst, src and b: the entries of a system's coefficient matrices, from filters (src, dst, b)."""
+    return edges.select("dst", "src", F.posexplode("b").alias("k", "b")).select((F.col("k") + 1).alias("lag"), "dst", "src", "b")
+
+
 def example(spark) -> DataFrame:
     """Six nodes, a strongly causal graph."""
     return spark.createDataFrame([(1, 3), (2, 4), (3, 4), (3, 5), (4, 6)], "src long, dst long")

@@ -143,9 +143,9 @@ def missing_share(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def normalise_trial(trial: DataFrame, keys: list[str], dither: float = 1e-2, seed: int = 0) -> DataFrame:
-    """Subtract each channel's mean, divide by the trial's deviation, add a little noise."""
+    """Subtract each channel's mean, divide by the trial's deviation (null if that is 0), add a little noise."""
     d = trial.withColumn("x", F.col("x") - F.avg("x").over(Window.partitionBy(*keys, "i")))
-    return d.withColumn("x", F.col("x") / F.stddev_pop("x").over(Window.partitionBy(*keys)) + dither * F.randn(seed))
+    return d.withColumn("x", F.col("x") / F.nullif(F.stddev_pop("x").over(Window.partitionBy(*keys)), F.lit(0.0)) + dither * F.randn(seed))
 
 
 def merge_outer(a: DataFrame, b: DataFrame, keys: list[str], backfill: list[str] = (), key: str | None = None) -> DataFrame:

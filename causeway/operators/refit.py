@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import autoregression as ar
-from . import graph
+from . import graph, panel
 
 #: Values of all series together (8 bytes each) up to which they are broadcast.
 SHARED_VALUES = 4_000_000
@@ -62,6 +62,14 @@ def residual_series(fitted: DataFrame) -> DataFrame:
     return fitted.select(F.col("dst").alias("i"), F.col("r").alias("xs"))
 
 
+def one_step_residuals(panel_: DataFrame, edges: DataFrame, p: int) -> DataFrame:
+    """t, i and r, what filters (src, dst, b of p lags) leave of a panel; steps with p steps before them only."""
+    lags = panel.lag_matrix(panel_, p)
+    terms = F.aggregate(F.zip_with("b", "lags", lambda u, v: u * v), F.lit(0.0), lambda u, v: u + v)
+    said = lags.join(edges, F.col("i") == F.col("src")).groupBy(F.col("dst").alias("i"), "t").agg(F.sum(terms).alias("said"))
+    return lags.select("t", "i", "x").join(said, ["i", "t"], "left").select("t", "i", (F.col("x") - F.coalesce("said", F.lit(0.0))).alias("r"))
+
+
 def ar_baseline(series: DataFrame, p: int, most: int) -> DataFrame:
     """i, order and out-of-sample error of an autoregression of its own, fitted on the first `most` values."""
     kind = dict(series.dtypes)["i"]

@@ -63,8 +63,8 @@ def dense_graph(series: DataFrame, p: int, method: str = "alasso", max_t: int |
     return refit.estimate(graph.drop_zero_filters(refit.filters(fitted)), series, p, "lstsqr", max_t)
 
 
-def pwgc_arrays(x: np.ndarray, p: int, alpha: float = 0.05, f_mode: bool = False) -> list[tuple[int, int]]:
-    """Edges of one small system (t, n); for many systems, within a group each."""
+def pwgc_arrays(x: np.ndarray, p: int, alpha: float = 0.05, f_mode: bool = False, threshold_only: bool = False) -> list[tuple[int, int]]:
+    """Edges of one small system (t, n); for many systems, within a group each. threshold_only: no recovery."""
     t, n = x.shape
     if n < 2:
         return []
@@ -80,6 +80,8 @@ def pwgc_arrays(x: np.ndarray, p: int, alpha: float = 0.05, f_mode: bool = False
     score = {(int(b), int(a)): s for a, b, s in zip(i, j, fi)} | {(int(a), int(b)): s for a, b, s in zip(i, j, fj)}
     sure = {(int(b), int(a)): s for a, b, s in zip(i, j, pi)} | {(int(a), int(b)): s for a, b, s in zip(i, j, pj)}
     cut = scg.bh_threshold(1 - np.concatenate([pi, pj]), alpha)
+    if threshold_only:
+        return sorted(e for e, s in sure.items() if s >= 1 - cut)
     return scg.recover(list(range(n)), score, sure, 1 - cut)
 
 
@@ -112,6 +114,8 @@ def iterated_arrays(x: np.ndarray, p: int, alpha: float = 0.05, later_alpha: flo
 def graphs_by_group(rows: DataFrame, keys: list[str], p: int, method: str = "pwgc", alpha: float = 0.05) -> DataFrame:
     """keys, src, dst: one graph for every group of (keys, i, xs); method pwgc, iterated, threshold or alasso."""
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    if method not in ("pwgc", "iterated", "threshold", "alasso"):
+        raise ValueError(f"unknown method: {method}")
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("i")
@@ -123,7 +127,7 @@ def graphs_by_group(rows: DataFrame, keys: list[str], p: int, method: str = "pwg
         elif method == "iterated":
             edges = iterated_arrays(x, p, alpha)[0]
         else:
-            edges = pwgc_arrays(x, p, alpha)
+            edges = pwgc_arrays(x, p, alpha, threshold_only=method == "threshold")
         return pd.DataFrame([(*key, names[s], names[d]) for s, d in edges], columns=[*keys, "src", "dst"])
 
     return rows.groupBy(*keys).applyInPandas(one, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), f"src {kinds['i']}", f"dst {kinds['i']}"]))

@@ -343,15 +343,19 @@ def layer0_select(spark, sf_dir):
 
 
 G_SQL = """
-ga AS (SELECT DISTINCT l_suppkey % 9 AS src, l_partkey % 9 AS dst FROM lineitem WHERE l_quantity >= 48 AND l_linenumber = 1 AND l_orderkey % 7 = 0),
-gb AS (SELECT DISTINCT l_suppkey % 9 AS src, l_partkey % 9 AS dst FROM lineitem WHERE l_quantity <= 3 AND l_linenumber = 1 AND l_orderkey % 7 = 1),
+gp AS (SELECT l_suppkey % 9 AS src, l_partkey % 9 AS dst, sum(CAST(l_quantity AS BIGINT)) AS q, count(*) AS n, count(*) FILTER (WHERE l_returnflag = 'R') AS r FROM lineitem GROUP BY ALL),
+gt AS (SELECT count(*) AS pairs, sum(q) AS q, sum(n) AS n, sum(r) AS r FROM gp),
+ga AS (SELECT src, dst FROM gp, gt WHERE gp.q * pairs > gt.q),
+gb AS (SELECT src, dst FROM gp, gt WHERE gp.r * gt.n > gt.r * gp.n),
 gn AS (SELECT CAST(unnest(range(12)) AS BIGINT) AS i)"""
 
 
 def two_graphs(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
-    d = read(spark, sf_dir, "lineitem").filter("l_linenumber = 1").select((F.col("l_suppkey") % 9).alias("src"), (F.col("l_partkey") % 9).alias("dst"), "l_quantity", (F.col("l_orderkey") % 7).alias("k"))
-    a, b = d.filter("l_quantity >= 48 AND k = 0"), d.filter("l_quantity <= 3 AND k = 1")
-    return a.select("src", "dst").distinct(), b.select("src", "dst").distinct(), spark.range(12).withColumnRenamed("id", "i")
+    """Classes of suppliers to classes of parts: pairs of more than mean quantity, pairs returned more than the rest; twelve nodes."""
+    d = read(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 9).alias("src"), (F.col("l_partkey") % 9).alias("dst")).agg(F.sum(F.col("l_quantity").cast("long")).alias("q"), F.count("*").alias("n"), F.count_if(F.col("l_returnflag") == "R").alias("r"))
+    total = d.agg(F.count("*").alias("pairs"), F.sum("q").alias("q_all"), F.sum("n").alias("n_all"), F.sum("r").alias("r_all"))
+    d = d.crossJoin(F.broadcast(total))  # one row
+    return d.filter("q * pairs > q_all").select("src", "dst"), d.filter("r * n_all > r_all * n").select("src", "dst"), spark.range(12).withColumnRenamed("id", "i")
 
 
 @query(f"WITH {G_SQL} SELECT src, dst FROM ga UNION SELECT src, dst FROM gb")
@@ -406,10 +410,10 @@ def adjacency_lists(spark, sf_dir):
     return graph.adjacency_lists(two_graphs(spark, sf_dir)[0]).select("src", F.array_join("out", ",").alias("out"))
 
 
-@query("""WITH e AS (SELECT DISTINCT l_shipmonth AS k, src, dst FROM (SELECT date_part('month', l_shipdate) AS l_shipmonth, l_suppkey % 9 AS src, l_partkey % 9 AS dst FROM lineitem WHERE l_quantity >= 49))
+@query("""WITH e AS (SELECT date_part('month', l_shipdate) AS k, l_suppkey % 9 AS src, l_partkey % 9 AS dst FROM lineitem GROUP BY ALL HAVING avg(l_quantity) > 25)
 SELECT src, dst, round(count(*)::DOUBLE / (SELECT count(DISTINCT k) FROM e), 6) AS freq FROM e WHERE src <> dst GROUP BY src, dst""")
 def mean_adjacency(spark, sf_dir):
-    d = read(spark, sf_dir, "lineitem").filter("l_quantity >= 49").select(F.month("l_shipdate").alias("k"), (F.col("l_suppkey") % 9).alias("src"), (F.col("l_partkey") % 9).alias("dst"))
+    d = read(spark, sf_dir, "lineitem").groupBy(F.month("l_shipdate").alias("k"), (F.col("l_suppkey") % 9).alias("src"), (F.col("l_partkey") % 9).alias("dst")).agg(F.avg("l_quantity").alias("q")).filter("q > 25")
     return rounded(graph.mean_adjacency(d, ["k"]), "freq")
 
 
@@ -458,6 +462,51 @@ def coef_error_outer(spark, sf_dir):
     return e.select("src", "dst", F.get("err", F.lit(0)).alias("e1"), F.coalesce(F.get("err", F.lit(1)), F.lit(0.0)).alias("e2"))
 
 
+@query(f"""WITH {G_SQL}, j AS (SELECT coalesce(a.src, b.src) AS src, coalesce(a.dst, b.dst) AS dst, a.src IS NOT NULL AS ina, b.src IS NOT NULL AS inb FROM ga a FULL JOIN gb b ON a.src = b.src AND a.dst = b.dst)
+SELECT round(avg(CASE WHEN ina THEN pow((src + 1 - CASE WHEN inb THEN dst ELSE 0 END - 0.5) / 2, 2) ELSE 0 END), 6) AS error FROM j""")
+def filter_error(spark, sf_dir):
+    a, b, _ = two_graphs(spark, sf_dir)
+    e = graph.coefficient_errors(a.withColumn("b", F.array((F.col("src") + 1).cast("double"), F.lit(0.5))), b.withColumn("b", F.array(F.col("dst").cast("double"))))
+    return rounded(metrics.filter_error(e), "error")
+
+
+@query(f"WITH {G_SQL} SELECT 1 AS lag, dst, src, (src + 1)::DOUBLE AS b FROM ga UNION ALL SELECT 2, dst, src, 0.5::DOUBLE FROM ga")
+def graph_to_var(spark, sf_dir):
+    a, _, _ = two_graphs(spark, sf_dir)
+    return graph.lagged_entries(a.withColumn("b", F.array((F.col("src") + 1).cast("double"), F.lit(0.5))))
+
+
+@query(f"""WITH {G_SQL}, s AS (SELECT l_suppkey % 9 AS i, date_part('month', l_shipdate) AS m, sum(CAST(l_quantity AS BIGINT))::DOUBLE AS x FROM lineitem GROUP BY ALL)
+SELECT dst, src, round(sum(x), 2) AS total, count(*) AS steps FROM ga JOIN s ON src = i GROUP BY dst, src""")
+def predecessor_series(spark, sf_dir):
+    a, _, _ = two_graphs(spark, sf_dir)
+    s = read(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 9).alias("i"), F.month("l_shipdate").alias("t")).agg(F.sum("l_quantity").alias("x"))
+    p = graph.parents(a, panel.to_series(s)).select("dst", F.explode("parents").alias("p"))
+    return p.select("dst", "p.src", F.round(F.aggregate("p.xs", F.lit(0.0), lambda u, v: u + v), 2).alias("total"), F.size("p.xs").cast("long").alias("steps"))
+
+
+@query("SELECT r_regionkey AS i, r_name, count(*) AS nations FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY ALL")
+def node_attach(spark, sf_dir):
+    nodes = read(spark, sf_dir, "region").select(F.col("r_regionkey").alias("i"), "r_name")
+    return graph.attach(nodes, read(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("i")).agg(F.count("*").alias("nations")))
+
+
+@query(f"""WITH {E_SQL}, d AS (SELECT t // 168 AS trial, t, i, x - avg(x) OVER (PARTITION BY t // 168, i) AS y FROM panel)
+SELECT trial, t, i, round(y / nullif(stddev_pop(y) OVER (PARTITION BY trial), 0), 6) AS x FROM d""")
+def normalise_trial(spark, sf_dir):
+    d = events_panel(spark, sf_dir).withColumn("trial", F.floor(F.col("t") / 168))
+    return rounded(panel.normalise_trial(d, ["trial"], dither=0.0), "x").select("trial", "t", "i", "x")
+
+
+@query(f"""WITH {Z_SQL}, s AS (SELECT t, sum(x) AS s FROM z GROUP BY t)
+SELECT a.t, a.i, round(a.x - 0.5 * b.x - 0.25 * c.x - 0.1 * (s.s - b.x), 6) AS r FROM z a JOIN z b ON b.i = a.i AND b.t = a.t - 1 JOIN z c ON c.i = a.i AND c.t = a.t - 2 JOIN s ON s.t = a.t - 1""")
+def one_step_residuals(spark, sf_dir):
+    d = z_panel(spark, sf_dir).persist()
+    own = F.col("src") == F.col("dst")
+    b = F.array(F.when(own, 0.5).otherwise(0.1), F.when(own, 0.25).otherwise(0.0))
+    return rounded(refit.one_step_residuals(d, graph.complete(d.select("i").distinct()).withColumn("b", b), 2), "r")
+
+
 @query("SELECT round(ln(sum(s_acctbal + 2000)) / ln(sum(s_nationkey + 2)), 6) AS lre FROM supplier")
 def log_relative_error(spark, sf_dir):
     s = read(spark, sf_dir, "supplier").select((F.col("s_acctbal") + 2000).alias("sv2_hat"), (F.col("s_nationkey") + 2).alias("sv2"))
@@ -632,6 +681,16 @@ def subject_graphs(spark, sf_dir):
     return pipeline.graphs_by_group(_trials(spark, sf_dir), ["subject", "trial"], 3)
 
 
+@query()
+def subject_graphs_threshold(spark, sf_dir):
+    return pipeline.graphs_by_group(_trials(spark, sf_dir), ["subject", "trial"], 3, "threshold")
+
+
+@query()
+def subject_graphs_alasso(spark, sf_dir):
+    return pipeline.graphs_by_group(_trials(spark, sf_dir), ["subject", "trial"], 2, "alasso")
+
+
 @query()
 def iterated_pwgc(spark, sf_dir):
     return pipeline.graphs_by_group(_trials(spark, sf_dir), ["subject", "trial"], 3, "iterated")
