@@ -129,44 +129,81 @@ def least_squares(x: np.ndarray, y: np.ndarray, weight: float = np.inf) -> np.nd
     return gram_solve(x.T @ x / t, x.T @ y / t, 0.0 if np.isinf(weight) else 1 / (weight * t))
 
 
-def descend(g: np.ndarray, c: np.ndarray, penalty: float, start: np.ndarray, rounds: int = 500) -> np.ndarray:
-    """Coordinate descent for b'gb / 2 - c'b + penalty |b|."""
-    b, diag = start.copy(), np.diag(g).copy()
-    for _ in range(rounds):
-        change = 0.0
-        for k in range(len(b)):
-            if diag[k] <= 0:
-                continue
-            z = c[k] - g[k] @ b + diag[k] * b[k]
-            new = np.sign(z) * max(abs(z) - penalty, 0.0) / diag[k]
-            if new != b[k]:
-                change = max(change, abs(new - b[k]))
-                b[k] = new
-        if change < 1e-8:
-            break
-    return b
-
-
-def lasso(x: np.ndarray, y: np.ndarray, grid: int = 40) -> np.ndarray:
-    """LASSO on standardised columns, the penalty chosen by the Bayesian criterion along a warm-started path."""
+def lasso_path(g: np.ndarray, c: np.ndarray, most: int):
+    """The minimisers of b'gb / 2 - c'b + penalty |b| where the path bends: (penalty, b), penalty falling to 0.
+
+    Between bends the path is straight, so each costs one solution for the active columns. It ends when `most`
+    columns are active or no column is left.
+    """
+    n = len(c)
+    b, r, active = np.zeros(n), c.astype(float).copy(), []
+    penalty = float(np.abs(c).max(initial=0.0))
+    tiny, entering = 1e-12 * max(penalty, 1e-300), int(np.argmax(np.abs(c))) if n else -1
+    if penalty <= 0:
+        return
+    yield penalty, b.copy()
+    barred = np.diag(g) <= 0
+    left = -1
+    for _ in range(8 * n + 8):
+        if entering >= 0:
+            active.append(entering)
+        if not active:
+            return
+        own = g[np.ix_(active, active)]
+        sign = np.sign(r[active])
+        try:
+            step = np.linalg.solve(own + np.eye(len(active)) * 1e-12 * own.diagonal().mean(), sign)
+        except np.linalg.LinAlgError:
+            return
+        rate = g[:, active] @ step
+        out = ~barred
+        out[active] = False
+        # as far as the next column joins, an active one passes 0, or the penalty ends
+        with np.errstate(divide="ignore", invalid="ignore"):
+            join = np.stack([(penalty - r) / (1 - rate), (penalty + r) / (1 + rate)])
+        join[:, ~out] = np.inf
+        if left >= 0:  # a column that has just left stands at the bound
+            join[:, left] = np.where(join[:, left] <= tiny, np.inf, join[:, left])
+        join[~(join > -tiny)] = np.inf
+        join = np.maximum(join, 0).min(0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            drop = -b[active] / step
+        drop[~(drop > tiny)] = np.inf
+        j, k = int(np.argmin(join)), int(np.argmin(drop))
+        far = min(join[j], drop[k], penalty)
+        b[active] += far * step
+        r -= far * rate
+        penalty -= far
+        entering, left = -1, -1
+        if drop[k] <= far:
+            left = active.pop(k)
+            b[left] = 0.0
+        elif join[j] <= far:
+            entering = j
+        yield max(penalty, 0.0), b.copy()
+        if penalty <= tiny or len(active) >= most:
+            return
+
+
+def _by_criterion(g: np.ndarray, c: np.ndarray, total: float, t: int) -> np.ndarray:
+    """The path's member of the best Bayesian criterion; total: mean square of what is explained."""
+    best, kept = np.inf, np.zeros(len(c))
+    for _, b in lasso_path(g, c, max(1, t - 1)):
+        error = max(total - 2 * c @ b + b @ g @ b, 1e-12 * total, 1e-300)
+        score = t * np.log(error) + np.count_nonzero(b) * np.log(t)
+        if score < best - 1e-12 * abs(score):
+            best, kept = score, b
+    return kept
+
+
+def lasso(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """LASSO on standardised columns, the penalty chosen by the Bayesian criterion along the exact path."""
     if not x.shape[1]:
         return np.zeros(0)
     t, scale = len(y), x.std(0)
     scale = np.where(scale > 0, scale, 1.0)
     z = (x - x.mean(0)) / scale
-    g, c = z.T @ z / t, z.T @ (y - y.mean()) / t
-    total = float(np.var(y))
-    top = float(np.abs(c).max(initial=0.0))
-    best, kept, b = np.inf, np.zeros(x.shape[1]), np.zeros(x.shape[1])
-    if top <= 0:
-        return kept
-    for penalty in np.geomspace(top, top * 1e-3, grid):
-        b = descend(g, c, penalty, b)
-        error = max(total - 2 * c @ b + b @ g @ b, 1e-300)
-        score = t * np.log(error) + np.count_nonzero(b) * np.log(t)
-        if score < best:
-            best, kept = score, b.copy()
-    return kept / scale
+    return _by_criterion(z.T @ z / t, z.T @ (y - y.mean()) / t, float(np.var(y)), t) / scale
 
 
 def adaptive_lasso(x: np.ndarray, y: np.ndarray, nu: float = 2.0) -> np.ndarray:
@@ -176,19 +213,11 @@ def adaptive_lasso(x: np.ndarray, y: np.ndarray, nu: float = 2.0) -> np.ndarray:
     scale = x.std(0)
     scale = np.where(scale > 0, scale, 1.0)
     weight = np.abs(least_squares(x / scale, y, 2.0)) ** nu
-    z = x / scale * weight
     keep = weight > 1e-12
     b = np.zeros(x.shape[1])
     if keep.any():
-        t, zk = len(y), z[:, keep]
-        g, c = zk.T @ zk / t, zk.T @ y / t
-        top, fit, best = float(np.abs(c).max()), np.zeros(int(keep.sum())), np.inf
-        for penalty in np.geomspace(top, top * 1e-4, 40) if top > 0 else ():
-            fit = descend(g, c, penalty, fit)
-            error = max(float(np.mean((y - zk @ fit) ** 2)), 1e-300)
-            score = t * np.log(error) + np.count_nonzero(fit) * np.log(t)
-            if score < best:
-                best, b[keep] = score, fit
+        t, z = len(y), (x / scale * weight)[:, keep]
+        b[keep] = _by_criterion(z.T @ z / t, z.T @ y / t, float(np.mean(y**2)), t)
     return b * weight / scale
 
 

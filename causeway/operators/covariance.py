@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import autoregression as ar
+from ..sources.tables import spread
 
 
 def autocovariance(panel: DataFrame, p: int, steps: int | None = None) -> DataFrame:
@@ -45,6 +46,16 @@ def numbered(series: DataFrame) -> DataFrame:
     return series.join(places, "i").select("k", "i", "xs")
 
 
+#: Most tasks that tiles are dealt over.
+MOST_TASKS = 20_000
+
+
+def dealt(series: DataFrame, nodes: int, size: int) -> DataFrame:
+    """The tiles, each to a task of its own as far as a hash of it allows."""
+    blocks = -(-nodes // size)
+    return spread(tiles(numbered(series), nodes, size), "a", "b", parts=max(1, min(MOST_TASKS, blocks * (blocks + 1))))
+
+
 def tiled_autocovariance(series: DataFrame, nodes: int, p: int, size: int = TILE) -> DataFrame:
     """As autocovariance(), by matrix products within tiles; a task holds the series of two blocks."""
     kind = dict(series.dtypes)["i"]
@@ -60,7 +71,7 @@ def tiled_autocovariance(series: DataFrame, nodes: int, p: int, size: int = TILE
                 out.append(pd.DataFrame({"tau": tau, "i": np.repeat(m.i.to_numpy(), len(n)), "j": np.tile(n.i.to_numpy(), len(m)), "r": r.ravel()}))
         return pd.concat(out)
 
-    return tiles(numbered(series), nodes, size).groupBy("a", "b").applyInPandas(one, f"tau int, i {kind}, j {kind}, r double")
+    return dealt(series, nodes, size).groupBy("a", "b").applyInPandas(one, f"tau int, i {kind}, j {kind}, r double")
 
 
 def levinson_orders(cov: DataFrame, p: int) -> DataFrame:
@@ -100,7 +111,7 @@ def pairwise(series: DataFrame, nodes: int, p: int, size: int = TILE) -> DataFra
             out.append(pd.DataFrame({"src": np.concatenate([lj, li]), "dst": np.concatenate([li, lj]), "xi": np.concatenate([ex[i], ey[j]]), "xi_pair": np.concatenate([si, sj]), "p": np.concatenate([order, order])}))
         return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("src", "dst", "xi", "xi_pair", "p")})
 
-    return tiles(numbered(series), nodes, size).groupBy("a", "b").applyInPandas(one, f"src {kind}, dst {kind}, xi double, xi_pair double, p int")
+    return dealt(series, nodes, size).groupBy("a", "b").applyInPandas(one, f"src {kind}, dst {kind}, xi double, xi_pair double, p int")
 
 
 def pairwise_slow(series: DataFrame, p: int, compat: bool = False) -> DataFrame:

@@ -60,24 +60,31 @@ def ranked(tests: DataFrame, order: list[str]) -> DataFrame:
     return dealt.withColumn("_own", own).join(F.broadcast(base), F.col("_part") == F.col("_p")).withColumn("rn", F.col("_own") + F.col("_before")).drop("_part", "_p", "_own", "_before")
 
 
+def harmonic(m: Column) -> Column:
+    """1 + 1/2 + ... + 1/m, by its asymptotic series from 32 on (off by less than 1e-14)."""
+    few = F.aggregate(F.sequence(F.lit(1), F.least(m, F.lit(32)).cast("int")), F.lit(0.0), lambda s, k: s + 1 / k)
+    x = m.cast("double")
+    many = F.log(x) + F.lit(0.5772156649015329) + 1 / (2 * x) - 1 / (12 * x**2) + 1 / (120 * x**4) - 1 / (252 * x**6)
+    return F.when(m <= 32, few).otherwise(many)
+
+
 def bh_threshold(tests: DataFrame, alpha: float, order: list[str], compat: bool = True, independent: bool = True) -> DataFrame:
     """One row, threshold: the p-value (column p_value) at the place that Benjamini and Hochberg's rule picks."""
-    c = F.lit(1.0) if independent else F.aggregate(F.sequence(F.lit(1), F.col("m")), F.lit(0.0), lambda s, k: s + 1 / k)
+    c = F.lit(1.0) if independent else harmonic(F.col("m"))
     r = ranked(tests.select("p_value", *[o for o in order if o != "p_value"]), order)
     line = F.col("rn") * F.lit(alpha) / (c * F.col("m"))
     if not compat:
         return r.agg(F.coalesce(F.max(F.when(F.col("p_value") <= line, F.col("p_value"))), F.lit(0.0)).alias("threshold"))
-    # the first change of side: a row whose next is on the other side, found by joining neighbours by place
+    # One of the two sides begins at place 1; the place before the other begins is the one wanted, or else place 1.
     side = r.select("rn", "p_value", (F.col("p_value") < line).alias("below"))
-    nxt = side.select((F.col("rn") - 1).alias("rn"), F.col("below").alias("after"))
-    change = side.join(nxt, "rn").filter("below <> after")
-    first = change.agg(F.min_by("p_value", "rn").alias("v"))
-    return first.crossJoin(side.filter("rn = 1").select(F.col("p_value").alias("least"))).select(F.coalesce("v", "least").alias("threshold"))
+    begin = side.agg(*[F.min(F.when(b, F.col("rn"))).alias(n) for n, b in (("low", F.col("below")), ("high", ~F.col("below")))])
+    place = F.when(F.col("low").isNotNull() & F.col("high").isNotNull(), F.greatest("low", "high") - 1).otherwise(1)
+    return side.crossJoin(F.broadcast(begin.select(place.alias("place")))).filter("rn = place").select(F.col("p_value").alias("threshold"))  # one row
 
 
 def threshold_edges(tests: DataFrame, threshold: DataFrame) -> DataFrame:
-    """Edges whose probability is at least 1 - threshold."""
-    return tests.crossJoin(F.broadcast(threshold)).filter(F.col("p_edge") >= 1 - F.col("threshold")).select("src", "dst")
+    """Edges whose probability is positive and at least 1 - threshold."""
+    return tests.crossJoin(F.broadcast(threshold)).filter((F.col("p_edge") > 0) & (F.col("p_edge") >= 1 - F.col("threshold"))).select("src", "dst")
 
 
 def candidates(tests: DataFrame, floor: float = 0.0, drop_bidirectional: bool = False) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import autoregression as ar
+from ..sources.tables import spread
 from . import graph, panel
 
 #: Values of all series together (8 bytes each) up to which they are broadcast.
@@ -50,7 +51,7 @@ def estimate(edges: DataFrame, series: DataFrame, p: int, method: str = "lstsqr"
                 rows.append((r.dst, float(np.var(res)) if len(res) else float("nan"), res, names, [w[k * p : (k + 1) * p] for k in range(len(names))]))
             yield pd.DataFrame(rows, columns=["dst", "sv2_hat", "r", "srcs", "b"])
 
-    return own.mapInPandas(apply, f"dst {kind}, sv2_hat double, r array<double>, srcs array<{kind}>, b array<array<double>>")
+    return spread(own, "dst").mapInPandas(apply, f"dst {kind}, sv2_hat double, r array<double>, srcs array<{kind}>, b array<array<double>>")
 
 
 def filters(fitted: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import metrics, simulate
+from ..sources.tables import materialize
 from . import pipeline
 
 
@@ -30,9 +31,9 @@ def measure(true: np.ndarray, found: list[tuple[int, int]], errors: np.ndarray,
 
 
 def run(specs: DataFrame, algorithms: tuple[str, ...] = ("pwgc", "alasso"), out_of_sample: int = 500) -> DataFrame:
-    """id, n, t, q, iter, algo, metric, value."""
+    """id, n, t, q, iter, algo, metric, value. Systems run where the rows of specs lie; a grid has a task for each."""
 
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = []
         for s in pdf.itertuples():
             x, b, sv2 = simulate.simulate("scg" if s.prob < 0 else "dag", int(s.n), int(s.t) + out_of_sample, int(s.p), float(s.prob), int(s.seed * 1_000_003 + s.id))
@@ -48,12 +49,13 @@ def run(specs: DataFrame, algorithms: tuple[str, ...] = ("pwgc", "alasso"), out_
                 rows += [(s.id, s.n, s.t, s.q, s.iter, algo, k, v) for k, v in measure(b, edges, r.var(0), sv2).items()]
         return pd.DataFrame(rows, columns=["id", "n", "t", "q", "iter", "algo", "metric", "value"])
 
-    return specs.groupBy("id").applyInPandas(one, "id long, n int, t int, q string, iter int, algo string, metric string, value double")
+    return specs.mapInPandas(lambda batches: map(one, batches), "id long, n int, t int, q string, iter int, algo string, metric string, value double")
 
 
 def table(results: DataFrame, a: str = "alasso", b: str = "pwgc") -> DataFrame:
     """Means of both algorithms by cell and metric, with the paired test's p-value."""
     keys = ["nodes", "steps", "q", "metric"]
+    results = materialize(results, "results")  # drawn and fitted once, read for means and for tests
     wide = results.withColumnsRenamed({"n": "nodes", "t": "steps"}).groupBy(*keys, "iter").pivot("algo", [a, b]).agg(F.first("value"))
     means = wide.groupBy(*keys).agg(F.avg(a).alias(a), F.avg(b).alias(b))
     return means.join(metrics.paired_t(wide, keys, "iter", a, b).select(*keys, "p_value"), keys)

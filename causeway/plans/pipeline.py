@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import autoregression as ar
 from ..functions import scg, special
 from ..operators import covariance, granger, graph, panel, refit
+from ..sources.tables import spread
 
 #: Recovery of one graph runs on the driver, over screened candidate edges; beyond this many it is refused.
 MOST_EDGES = 5_000_000
@@ -27,7 +28,7 @@ def recover(scored: DataFrame, alpha: float = 0.05, drop_bidirectional: bool = F
     scored = scored.persist()
     if threshold is None:
         p = scored.select((1 - F.col("p_edge")).alias("p_value"), "src", "dst")
-        threshold = granger.bh_threshold(p, alpha, ["p_value", "src", "dst"]).first()[0]
+        threshold = granger.bh_threshold(p, alpha, ["p_value", "src", "dst"], independent=False).first()[0]
     want = granger.candidates(scored, 1 - threshold, drop_bidirectional)
     rows = want.limit(MOST_EDGES + 1).collect()
     if len(rows) > MOST_EDGES:
@@ -51,7 +52,7 @@ def pwgc_estimate(series: DataFrame, nodes: int, t: int, p: int = 10, alpha: flo
 def threshold_graph(series: DataFrame, nodes: int, t: int, p: int = 10, alpha: float = 0.05, method: str = "lstsqr") -> DataFrame:
     """Edges by threshold alone: no recovery, no loops."""
     scored = tests(series, nodes, t, p, f_cdf=True).persist()
-    cut = granger.bh_threshold(scored.select((1 - F.col("p_edge")).alias("p_value"), "src", "dst"), alpha, ["p_value", "src", "dst"])
+    cut = granger.bh_threshold(scored.select((1 - F.col("p_edge")).alias("p_value"), "src", "dst"), alpha, ["p_value", "src", "dst"], independent=False)
     return refit.estimate(granger.threshold_edges(scored, cut), series, p, method)
 
 
@@ -79,9 +80,9 @@ def pwgc_arrays(x: np.ndarray, p: int, alpha: float = 0.05, f_mode: bool = False
     pi, pj = (special.edge_probability(v, order, t, f_mode) for v in (fi, fj))
     score = {(int(b), int(a)): s for a, b, s in zip(i, j, fi)} | {(int(a), int(b)): s for a, b, s in zip(i, j, fj)}
     sure = {(int(b), int(a)): s for a, b, s in zip(i, j, pi)} | {(int(a), int(b)): s for a, b, s in zip(i, j, pj)}
-    cut = scg.bh_threshold(1 - np.concatenate([pi, pj]), alpha)
+    cut = scg.bh_threshold(1 - np.concatenate([pi, pj]), alpha, independent=False)
     if threshold_only:
-        return sorted(e for e, s in sure.items() if s >= 1 - cut)
+        return sorted(e for e, s in sure.items() if s > 0 and s >= 1 - cut)
     return scg.recover(list(range(n)), score, sure, 1 - cut)
 
 
@@ -130,7 +131,7 @@ def graphs_by_group(rows: DataFrame, keys: list[str], p: int, method: str = "pwg
             edges = pwgc_arrays(x, p, alpha, threshold_only=method == "threshold")
         return pd.DataFrame([(*key, names[s], names[d]) for s, d in edges], columns=[*keys, "src", "dst"])
 
-    return rows.groupBy(*keys).applyInPandas(one, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), f"src {kinds['i']}", f"dst {kinds['i']}"]))
+    return spread(rows, *keys).groupBy(*keys).applyInPandas(one, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), f"src {kinds['i']}", f"dst {kinds['i']}"]))
 
 
 def prepared(long_panel: DataFrame) -> DataFrame:

@@ -313,7 +313,16 @@ def bh_threshold_standard(spark, sf_dir):
     return rounded(granger.bh_threshold(t, ALPHA, ["p_value", "src", "dst"], compat=False), "threshold")
 
 
-@query(f"WITH {B_SQL} SELECT src, dst FROM pe, cut WHERE p_edge >= 1 - threshold")
+@query(f"""WITH {T_SQL}, o AS (SELECT 1 - p_edge AS p_value, row_number() OVER (ORDER BY 1 - p_edge, src, dst) AS rn, count(*) OVER () AS m FROM pe),
+h AS (SELECT sum(1.0::DOUBLE / k) AS h FROM (SELECT unnest(range(1, (SELECT max(m) FROM o) + 1)) AS k)),
+hs AS (SELECT rn, p_value, p_value < {ALPHA} * rn / (h * m) AS below, lead(p_value) OVER (ORDER BY rn) < {ALPHA} * (rn + 1) / (h * m) AS after FROM o, h)
+SELECT round(coalesce(min_by(p_value, rn) FILTER (WHERE below <> after), min(p_value)), 6) AS threshold FROM hs""")
+def bh_threshold_dependent(spark, sf_dir):
+    t = lag1_scored(spark, sf_dir).select((1 - F.col("p_edge")).alias("p_value"), "src", "dst")
+    return rounded(granger.bh_threshold(t, ALPHA, ["p_value", "src", "dst"], independent=False), "threshold")
+
+
+@query(f"WITH {B_SQL} SELECT src, dst FROM pe, cut WHERE p_edge >= 1 - threshold AND p_edge > 0")
 def threshold_edges(spark, sf_dir):
     return granger.threshold_edges(*_cut(spark, sf_dir))
 

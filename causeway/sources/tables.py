@@ -18,3 +18,10 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = f"{base.rstrip('/')}/causeway/{uuid.uuid4().hex}/{label}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str, parts: int | None = None) -> DataFrame:
+    """Deal rows by keys over a stated number of tasks, which AQE does not merge: for heavy work on few bytes."""
+    spark = df.sparkSession
+    n = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)

@@ -132,3 +132,21 @@ def test_systems():
     assert [float(m[0, 0]) for m in a] == [5, 6]
     assert simulate.Var(simulate.growing_network(6, 2, np.random.default_rng(0))).n == 6
     assert v.power_transfer(np.array([0.0]))[0, 0, 0] == pytest.approx((1 / 0.3) ** 2)
+
+
+def test_lasso_path_is_optimal():
+    for seed in range(6):
+        rng = np.random.default_rng(seed)
+        x = rng.normal(size=(60 if seed % 2 else 15, 20)) @ (np.eye(20) + 0.4 * rng.normal(size=(20, 20)))
+        if seed == 4:
+            x[:, 3] = x[:, 7]
+        y = x[:, :3] @ [1.0, -2.0, 0.5] + rng.normal(size=len(x))
+        g, c = x.T @ x / len(x), x.T @ y / len(x)
+        last = np.inf
+        for penalty, b in ar.lasso_path(g, c, len(x) - 1):
+            r = c - g @ b
+            assert penalty <= last + 1e-12 and np.abs(r).max() <= penalty + 1e-6
+            assert np.allclose(r[b != 0], penalty * np.sign(b[b != 0]), atol=1e-6)
+            last = penalty
+        assert last < 0.2 * np.abs(c).max()
+    assert not list(ar.lasso_path(np.zeros((2, 2)), np.zeros(2), 5))

@@ -176,3 +176,22 @@ def test_split_of_a_hot_label(spark):
 def test_tiles_rank_names_alone(system):
     _, _, s = system
     assert sorted((r.k, r.i) for r in covariance.numbered(s).collect()) == [(k, k) for k in range(7)]
+
+
+def test_dependent_thresholds_and_harmonic_numbers(spark):
+    from causeway.functions import scg
+
+    d = spark.createDataFrame([(m,) for m in (1, 2, 31, 32, 33, 1000)], "m long").select("m", granger.harmonic(F.col("m")).alias("h"))
+    assert all(r.h == pytest.approx(sum(1 / k for k in range(1, r.m + 1)), rel=1e-13) for r in d.collect())
+    for p in ([0.9, 0.95, 0.99], [1e-9, 1e-8, 1e-7], [0.9, 1e-4, 0.03], [1.0, 1.0, 1.0], list(np.random.default_rng(1).random(70) ** 4)):
+        d = spark.createDataFrame([(float(v), k, k) for k, v in enumerate(p)], "p_value double, src long, dst long")
+        assert granger.bh_threshold(d, 0.3, ["p_value", "src", "dst"], independent=False).first()[0] == pytest.approx(scg.bh_threshold(p, 0.3, independent=False))
+
+
+def test_no_test_no_edge(spark):
+    x = np.random.default_rng(5).normal(size=(60, 3))
+    assert pipeline.pwgc_arrays(np.ones((60, 3)) + 1e-3 * x, 1, threshold_only=True) == []
+    t = spark.createDataFrame([(0, 1, 0.0), (1, 0, 0.0)], "src long, dst long, p_edge double")
+    assert granger.threshold_edges(t, spark.createDataFrame([(1.0,)], "threshold double")).count() == 0
+    with pytest.raises(ValueError):
+        pipeline.graphs_by_group(t.selectExpr("src AS k", "dst AS i", "array(1D) AS xs"), ["k"], 1, "other")
