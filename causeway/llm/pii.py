@@ -3,8 +3,8 @@
 Base detectors find emails, addresses, cards and phones in the text as it is. Then transducers rewrite the text
 - look-alike characters to ASCII, zero-width characters to nothing, disguised `at` and `dot` to @ and .,
 spelled digits to digits - each keeping, for every character it writes, the source characters that it stands
-for. The same detectors run on the rewritten text, and a find that holds a rewritten character and overlaps no
-base span is mapped back to the source. Base spans always stay.
+for. The same detectors run on the rewritten text, and a find that holds a rewritten character and reaches beyond
+the spans found before is mapped back to the source: it may extend a base span. Base spans always stay.
 
 All offsets are code points, ends exclusive. Every pattern is linear in the text, so very long texts and runs
 of one character are safe. Defined cases. Null or empty text: no spans. Repeated rows: the same spans. Null
@@ -168,6 +168,10 @@ def deobfuscate(text: str) -> Rewritten | None:
         dots = list(_PROSE_DOT.finditer(r.text, m.start(2) - 1, m.end(2)))
         if m[1] and (not dots or re.split(r"[ .]", m[2])[-1].lower() not in TOP_LEVEL):
             continue  # "at" in prose before a dotted name, or before no host name, is no disguise
+        if not m[1] and "." in m[2]:
+            # "point" and its like also follow a whole address in prose; "dot" does not
+            known = re.split(r"[ .]", m[2])[-1].lower() in TOP_LEVEL
+            dots = [d for d in dots if known or d.group().strip().lower() == "dot"]
         edits += [(m.start(1), m.end(1), "@")] if m[1] else []
         edits += [(d.start(), d.end(), ".") for d in dots]
     r.put(edits)
@@ -194,7 +198,7 @@ def spans(text: str | None) -> tuple[dict[str, list[tuple[int, int]]], dict[str,
     more = {k: list(v) for k, v in base.items()}
     r = deobfuscate(text)
     if r is not None and r.new.any():
-        # a byte a character: a lookup costs as much as a span is long, however many spans there are
+        # a find that lies in other spans tells nothing new; a byte a character: a lookup costs as much as a span is long, however many spans there are
         taken = bytearray(len(text))
         for x, y in (s for v in base.values() for s in v):
             taken[x:y] = b"\1" * (y - x)
@@ -206,7 +210,7 @@ def spans(text: str | None) -> tuple[dict[str, list[tuple[int, int]]], dict[str,
                 # a spelled-out word swallows the separator before it; a span starts at its word
                 while s < e and text[s] in " ,-\t\n":
                     s += 1
-                if taken.find(1, s, e) < 0:
+                if taken.find(0, s, e) >= 0:
                     more[k].append((s, e))
                     taken[s:e] = b"\1" * (e - s)
             more[k].sort()

@@ -459,6 +459,29 @@ def test_disguises_map_back_to_the_source(text, kind, found):
     assert pii.redact_text(text) == text.replace(found, f"[{kind.upper()}]")
 
 
+@pytest.mark.parametrize("found,base", [
+    ("jоhn@example.com", "hn@example.com"),
+    ("jo\u200bhn@example.com", "hn@example.com"),
+    ("a@mail.exаmple.com", "a@mail.ex"),
+    ("a@host.co dot uk", "a@host.co"),
+    ("a@host.co dot online", "a@host.co"),
+    ("10.0.0.1２", "10.0.0.1"),
+])
+def test_disguised_finds_extend_base_spans(found, base):
+    text = f"write {found}, please"
+    have, every = pii.spans(text)
+    kind, whole = "ip" if base[0] == "1" else "email", (6, 6 + len(found))
+    assert [text[a:b] for a, b in have[kind]] == [base]
+    assert set(every[kind]) == {*have[kind], whole} and sum(map(len, every.values())) == 2
+    assert pii.redact_text(text) == f"write [{kind.upper()}], please"
+
+
+def test_finds_within_base_spans_add_nothing():
+    for t in ("john@example.com\u200b", "écrire à a@b.com point final", "a@b.com point 3"):
+        base, every = pii.spans(t)
+        assert base["email"] and base == every
+
+
 def test_clean_prose_is_left_alone():
     for t in ("he was at home. Then dot", "look (at) this. (dot)", "un deux trois", "meet at 5 point 3", "один два", "a.b at c"):
         assert not any(pii.spans(t)[1].values()) and pii.redact_text(t) == t
