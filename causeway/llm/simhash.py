@@ -4,11 +4,13 @@ A text is lower-cased (A-Z), cut to words and shingles of SHINGLE words; the fin
 than half of the shingles' XXH64 values have. Fingerprints within RADIUS bits are linked. Bit i of 64 gets a
 non-zero vector m(i) of RADIUS + 1 bits; table v, for each non-zero v, compares the bits with <m(i), v> odd. For
 up to RADIUS differing bits some v is orthogonal to all their vectors, so that every such pair agrees in some
-table: no link is missed, whatever the data. Candidates are compared exactly within their bucket.
+table: no link is missed, whatever the data. The vectors span all RADIUS + 1 dimensions, so that no table compares
+nothing; of fewer than 2^(RADIUS + 1) - 1 bits they are those whose tables compare most. Candidates are compared exactly within their bucket.
 
 Equal fingerprints are one row before any table is built, so groups of copies cost nothing. A bucket of over
 BUCKET different fingerprints is split by the same construction over the bits that its tables have left free;
-that keeps the guarantee, and ends at once when few bits are free. Components are found by stars, never on the
+that keeps the guarantee, and ends, as each table compares some of them. A bucket with RADIUS free bits or fewer
+holds 2^RADIUS fingerprints at most and is never split. Components are found by stars, never on the
 driver.
 
 Defined cases. Null, empty or white-space text: fingerprint zero, linked like any other. Fewer than SHINGLE
@@ -20,6 +22,7 @@ doc_id in it, null only if all of them are. Other columns are ignored by `near_d
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -63,10 +66,26 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+@lru_cache
+def _vectors(n: int, radius: int) -> list[int]:
+    """Vectors of n bits; if n exceeds the radius they span all dimensions. The least table is made as large as can be, one vector at a time."""
+    every = list(range(1, 1 << radius + 1))
+    if n >= len(every):
+        return [every[i % len(every)] for i in range(n)]
+    out = [1 << k for k in range(radius + 1)][:n]
+    size = [sum((m & v).bit_count() & 1 for m in out) for v in every]
+    while len(out) < n:
+        grown = {m: [a + ((m & v).bit_count() & 1) for a, v in zip(size, every)] for m in every if m not in out}
+        best = max(grown, key=lambda m: (min(grown[m]), -grown[m].count(min(grown[m]))))
+        out.append(best)
+        size = grown[best]
+    return out
+
+
 def covering(free: int, radius: int = RADIUS) -> list[int]:
     """Masks over the free bits; two numbers that differ in at most `radius` of them agree under one."""
     places = [i for i in range(64) if free >> i & 1]
-    vector = {p: i % ((1 << radius + 1) - 1) + 1 for i, p in enumerate(places)}
+    vector = dict(zip(places, _vectors(len(places), radius)))
     return [sum(1 << p for p in places if (vector[p] & v).bit_count() & 1) for v in range(1, 1 << radius + 1)]
 
 
@@ -100,6 +119,7 @@ def _near(buckets: DataFrame, radius: int) -> DataFrame:
 def links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
     """Links (a, b) that connect all fingerprints (fp, distinct) within the radius of each other."""
     spark, found = fps.sparkSession, []
+    bucket = max(bucket, 1 << radius)  # with no more free bits than the radius, no bucket holds more
     first = covering((1 << 64) - 1, radius)
     masks = F.array(*[F.struct(F.lit(v).cast("long").alias("path"), F.lit(signed(m)).cast("long").alias("mask")) for v, m in enumerate(first)])
     rows = fps.select("fp", F.explode(masks).alias("m")).select("fp", F.col("m.path").alias("path"), F.col("fp").bitwiseAND(F.col("m.mask")).alias("key"))
@@ -116,11 +136,10 @@ def links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFra
         deeper, table = {}, []
         for p in paths:
             for m in covering(((1 << 64) - 1) & ~bound[p], radius):
-                if m:
-                    deeper[len(deeper)] = bound[p] | m
-                    table.append((p, len(deeper) - 1, signed(bound[p] | m)))
-        if not table:
-            raise RuntimeError("a bucket cannot be split")
+                if not m:
+                    raise RuntimeError("a bucket cannot be split: fingerprints repeat")
+                deeper[len(deeper)] = bound[p] | m
+                table.append((p, len(deeper) - 1, signed(bound[p] | m)))
         masks = F.broadcast(spark.createDataFrame(table, "path long, next long, mask long"))  # tables, whatever the data
         hot = rows.join(over.select("path", "key"), ["path", "key"], "left_semi")
         rows = materialize(hot.join(masks, "path").select("fp", F.col("next").alias("path"), F.col("fp").bitwiseAND(F.col("mask")).alias("key")), "deeper")

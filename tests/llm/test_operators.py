@@ -300,6 +300,33 @@ def test_covering_guarantee():
             assert any(not diff & m for m in masks)
 
 
+def test_no_table_of_few_bits_compares_nothing():
+    for n in range(5, 31):
+        assert all(simhash.covering((1 << n) - 1)), n
+
+
+def test_split_buckets_lose_no_link(spark):
+    """Pairs four bits apart in what two tables leave free, many in a bucket, any other two fingerprints further apart."""
+    rnd, bound = random.Random(5), simhash.covering((1 << 64) - 1)[0]
+    bound |= simhash.covering(((1 << 64) - 1) & ~bound)[0]
+    places = [i for i in range(64) if not bound >> i & 1]
+    word = lambda bits: sum(1 << p for p in bits)
+    pairs = [(0, word((3, 7, 15, 32)))] if {3, 7, 15, 32} <= set(places) else []
+    for _ in range(4000):
+        a = word(p for p in places if rnd.random() < 0.5)
+        b = a ^ word(rnd.sample(places, 4))
+        if all((x ^ y).bit_count() > 4 for x in (a, b) for pair in pairs for y in pair):
+            pairs.append((a, b))
+    heads = [rnd.getrandbits(64) & bound for _ in range(40)]
+    fps = [simhash.signed(h | x) for h in heads for pair in pairs for x in pair]
+    x = np.array(fps, np.int64)
+    i, j = np.nonzero(np.triu(np.bitwise_count((x[:, None] ^ x[None, :]).view(np.uint64)) <= 4, 1))
+    want = {frozenset((fps[a], fps[b])) for a, b in zip(i, j)}
+    assert len(pairs) > 8 and len(fps) > 1000 and len(want) == len(fps) // 2
+    d = spark.createDataFrame([(f,) for f in fps], "fp long")
+    assert {frozenset((r.a, r.b)) for r in simhash.links(d, bucket=2).collect()} == want
+
+
 def test_deduplicate(spark, docs, hard):
     kept = {r.doc_id for r in simhash.deduplicate(docs).collect()}
     assert kept == {c for _, _, c in brute_components([(r.doc_id, r.text) for r in docs.collect()])}
