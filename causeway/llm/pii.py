@@ -48,8 +48,11 @@ LOOKALIKE = dict(zip(
     "аеорсхуіјѕԁһкмтвнАВЕКМНОРСТХІЈЅУοανερτυικΑΒΕΖΗΙΚΜΝΟΡΤΥΧ",
     "aeopcxyijsdhkmtbhABEKMHOPCTXIJSYoaveptuikABEZHIKMNOPTYX",
 ))
-# Last parts of host names that make "at" and "dot" in prose a disguise.
+# Last parts of host names that make "at" and "point", which prose has too, a disguise.
 TOP_LEVEL = frozenset("com org net edu gov mil int info biz name io co ai app dev me tv eu us uk de fr es it nl be at ch pl se no fi dk pt ie ru ua cn jp kr in br mx ar ca au nz za".split())
+# Words that stand before a "dot", or after one, in prose; no host name has them there.
+_BEFORE_DOT = frozenset("the a an each every this that these those one any some no his her its my your our their which".split())
+_AFTER_DOT = frozenset("and or the of on an with from that this then but which was were when where at is are".split())
 _HIDDEN = "­​‌‍⁠﻿"
 _ODD = re.compile("[­Ͱ-ԯ٠-٩۰-۹०-९​-‍‐-―․⁠−①-⓿。﹒﹫﻿！-～\U0001d400-\U0001d7ff]")
 _EXTRA = {"。": ".", "․": ".", "‐": "-", "‑": "-", "‒": "-", "–": "-", "—": "-", "―": "-", "−": "-"}
@@ -57,12 +60,13 @@ _EXTRA = {"。": ".", "․": ".", "‐": "-", "‑": "-", "‒": "-", "–": "-"
 _AT = "|".join(AT_WORDS)
 _DOT = "|".join(DOT_WORDS)
 _BRACKET = re.compile(rf"[ ]?[(\[{{<] ?(?:({_AT}|@)|({_DOT}|\.)) ?[)\]}}>][ ]?", re.I)
-_PROSE = re.compile(rf"(?<![\w.@+-])[a-z0-9._%+-]{{1,64}}(?:( (?:{_AT}) )|@)([a-z0-9-]{{1,63}}(?:(?: (?:{_DOT}) |\.)[a-z0-9-]{{1,63}}){{1,5}})(?![\w@])", re.I)
+_PROSE = re.compile(rf"(?<![\w.@+-])([a-z0-9._%+-]{{1,64}}(?: (?:{_DOT}) [a-z0-9._%+-]{{1,64}}){{0,5}})(?:( (?:{_AT}) )|@)([a-z0-9-]{{1,63}}(?:(?: (?:{_DOT}) |\.)[a-z0-9-]{{1,63}}){{1,5}})(?![\w@])", re.I)
 _PROSE_DOT = re.compile(rf" (?:{_DOT}) ", re.I)
 _TOKEN = "|".join(sorted(DIGIT_OF, key=len, reverse=True))
-_RUN = re.compile(rf"(?<!\w)(?:(?:plus|{_TOKEN}|{_DOT}|[0-9]{{1,4}}|\+)(?:[ ,-]{{1,2}}|(?=\W)|$)){{4,}}", re.I)
+_RUN = re.compile(rf"(?<!\w)(?:(?:plus|{_TOKEN}|{_DOT}|[0-9]{{1,19}}|\+)(?:[ ,-]{{1,2}}|(?=\W)|$)){{2,}}", re.I)
 _PART = re.compile(rf"(?<!\w)(?:(plus)|({_TOKEN})|({_DOT}))(?!\w)", re.I)
 _TRIGGER = re.compile(rf"[(\[{{<] ?(?:{_AT}|@|{_DOT}|\.) ?[)\]}}>]| (?:{_AT}) | (?:{_DOT}) ", re.I)
+_NUMERIC = re.compile(rf"(?<!\w)plus[ ,-]{{1,2}}[0-9]|[0-9][ ,-]{{1,2}}(?:{_DOT})[ ,-]", re.I)
 _SPLIT = str.maketrans("-,.\n\t()", "       ")
 
 
@@ -152,12 +156,25 @@ def _plain(c: str) -> str | None:
     return n if len(n) == 1 and n.isascii() else c
 
 
+def _disguised(at: str, host: str, words: set[str], marked: bool) -> bool:
+    """Whether a spelled "at" before a host name with these spelled dots (or marked ones, as "(dot)") is a disguise, not prose."""
+    if not words and not marked:
+        return False  # "look at example.com"
+    end = re.split(r"[ .]", host)[-1]
+    if end in TOP_LEVEL or marked:
+        return True
+    if at == "at" and words <= {"point"}:
+        return False  # "look at this point we"
+    return len(end) > 1 and end.isalpha() and end not in _AFTER_DOT and re.split(r"[ .]", host)[0] not in _BEFORE_DOT
+
+
 def deobfuscate(text: str) -> Rewritten | None:
     """None if there is nothing to rewrite."""
     odd = not text.isascii() and _ODD.search(text)
     low = text.lower() if odd or _TRIGGER.search(text) else None
     spelled = not DIGIT_OF.keys().isdisjoint((low or text.lower()).translate(_SPLIT).split())
-    if low is None and not spelled:
+    numeric = spelled or _NUMERIC.search(text)
+    if low is None and not numeric:
         return None
     r = Rewritten(text)
     if odd:
@@ -165,28 +182,42 @@ def deobfuscate(text: str) -> Rewritten | None:
     r.put([(m.start(), m.end(), "@" if m[1] else ".") for m in _BRACKET.finditer(r.text) if re.search(r"\w", r.text[m.end() : m.end() + 1]) and re.search(r"\w", r.text[max(0, m.start() - 1) : m.start()])])
     edits = []
     for m in _PROSE.finditer(r.text):
-        dots = list(_PROSE_DOT.finditer(r.text, m.start(2) - 1, m.end(2)))
-        if m[1] and (not dots or re.split(r"[ .]", m[2])[-1].lower() not in TOP_LEVEL):
-            continue  # "at" in prose before a dotted name, or before no host name, is no disguise
-        if not m[1] and "." in m[2]:
+        local = list(_PROSE_DOT.finditer(r.text, m.start(1), m.end(1) + 1))
+        dots = list(_PROSE_DOT.finditer(r.text, m.start(3) - 1, m.end(3)))
+        words = {d.group().strip().lower() for d in dots}
+        if not m[2] and "." in m[3]:
             # "point" and its like also follow a whole address in prose; "dot" does not
-            known = re.split(r"[ .]", m[2])[-1].lower() in TOP_LEVEL
+            known = re.split(r"[ .]", m[3])[-1].lower() in TOP_LEVEL
             dots = [d for d in dots if known or d.group().strip().lower() == "dot"]
-        edits += [(m.start(1), m.end(1), "@")] if m[1] else []
+        if m[2] and not _disguised(m[2].strip().lower(), m[3].lower(), words, any(r.text[k] == "." and r.new[k] for k in range(*m.span(3)))):
+            continue
+        # from the right, so that what is rewritten is one local part
+        for d in reversed(local):
+            if (w := d.group().strip().lower()) != "dot" and w not in words:
+                break
+            edits.append((d.start(), d.end(), "."))
+        edits += [(m.start(2), m.end(2), "@")] if m[2] else []
         edits += [(d.start(), d.end(), ".") for d in dots]
+    edits.sort()
     r.put(edits)
-    if spelled:
+    if numeric:
         edits = []
         for m in _RUN.finditer(r.text):
             parts = list(_PART.finditer(r.text, m.start(), m.end()))
-            if sum(bool(p[2]) for p in parts) < 4:
+            # the detectors judge what is rewritten; fewer words than these can make no find
+            if not (sum(bool(p[2]) for p in parts) >= 4 or any(p[1] for p in parts) or sum(bool(p[3]) for p in parts) >= 3):
                 continue
             last = None
             for p in parts:
                 # separators between spelled characters are part of the one that follows
-                a = last if last is not None and not re.search(r"[0-9+]", r.text[last : p.start()]) else p.start()
-                edits.append((a, p.end(), "+" if p[1] else DIGIT_OF[p[2].lower()] if p[2] else "."))
-                last = p.end()
+                a, b = last if last is not None and not re.search(r"[0-9+]", r.text[last : p.start()]) else p.start(), p.end()
+                # those between a digit and a dot, or a plus and a digit, are part of the dot or plus
+                while p[3] and a > m.start() and a != last and r.text[a - 1] in " ,-":
+                    a -= 1
+                while not p[2] and b < m.end() and r.text[b] in " ,-":
+                    b += 1
+                edits.append((a, b, "+" if p[1] else DIGIT_OF[p[2].lower()] if p[2] else "."))
+                last = b
         r.put(edits)
     return r
 

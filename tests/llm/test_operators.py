@@ -486,6 +486,32 @@ def test_disguises_map_back_to_the_source(text, kind, found):
     assert pii.redact_text(text) == text.replace(found, f"[{kind.upper()}]")
 
 
+@pytest.mark.parametrize("found,kind", [
+    ("192 dot 168 dot 0 dot 1", "ip"),
+    ("10 dot zero dot 0 dot one", "ip"),
+    ("plus 49 151 2345678", "phone"),
+    ("plus 49 (151) 2345678", "phone"),
+    ("jane at firm dot online", "email"),
+    ("jane at firm dot shop", "email"),
+    ("jane at firm (dot) online", "email"),
+    ("jane arroba firma punto online", "email"),
+    ("john dot smith at example dot com", "email"),
+    ("jean point dupont arobase exemple point fr", "email"),
+    ("john dot smith at firm dot example dot shop", "email"),
+])
+def test_plain_disguises(found, kind):
+    text = f"write: {found}, please"
+    assert not any(pii.base_spans(text).values())
+    every = pii.spans(text)[1]
+    assert [text[a:b] for a, b in every[kind]] == [found] and sum(map(len, every.values())) == 1
+    assert pii.redact_text(text) == f"write: [{kind.upper()}], please"
+
+
+def test_prose_with_at_dot_and_plus_is_left_alone():
+    for t in ("look at this point we", "looking at the dot product", "stare at paul dot and go", "look at example.com", "2 plus 3 plus 4", "5 point 3 and 7 point 2", "plus 12 de 20", "300 dot 1 dot 1 dot 1"):
+        assert not any(pii.spans(t)[1].values()), t
+
+
 @pytest.mark.parametrize("found,base", [
     ("jоhn@example.com", "hn@example.com"),
     ("jo\u200bhn@example.com", "hn@example.com"),
