@@ -111,6 +111,12 @@ def ewm_halflife(spark, sf_dir):
     return rounded(panel.ewm_mean(z_panel(spark, sf_dir), 2.5, 24), "x")
 
 
+@query()
+def ewm_halflife_whole(spark, sf_dir):
+    """Over the operator's own reach of 128 half-lives; ewm_halflife and its SQL end at 24 steps."""
+    return rounded(panel.ewm_mean(z_panel(spark, sf_dir), 2.5), "x")
+
+
 @query(f"""WITH {N_SQL} SELECT t, i, coalesce(last_value(x IGNORE NULLS) OVER (PARTITION BY i ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
  first_value(x IGNORE NULLS) OVER (PARTITION BY i ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS x FROM gaps""")
 def ffill_bfill(spark, sf_dir):

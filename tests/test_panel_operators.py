@@ -164,6 +164,16 @@ def test_default_reach_of_weighted_means(spark):
     assert np.allclose(got, want, rtol=1e-12, atol=1e-14)
 
 
+def test_weighted_mean_query_weighs_the_whole_history(spark):
+    from causeway.plans import queries
+
+    sf = "/root/testdata/sf0.001"
+    z = queries.z_panel(spark, sf).toPandas().sort_values(["i", "t"])
+    z["x"] = z.groupby("i").x.transform(lambda x: x.ewm(halflife=2.5, adjust=True).mean())
+    got = queries.QUERIES["ewm_halflife_whole"](spark, sf).toPandas().sort_values(["i", "t"])
+    assert len(got) == len(z) and np.allclose(got.x.to_numpy(), z.x.to_numpy(), rtol=0, atol=1.01e-6)
+
+
 def test_split_of_a_hot_label(spark):
     d = spark.createDataFrame([(k, None if k % 50 == 0 else "a" if k % 7 else "b", k) for k in range(2000)], "key long, label string, _n long")
     rows = metrics.stratified_split(d, "label", "key").collect()
