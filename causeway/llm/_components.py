@@ -9,8 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import map_arrow, materialize
+from ._shared import discard, map_arrow, materialize
 
+#: Rounds grow with the logarithm of the longest chain of links; this many would not do for any table that fits a disk.
 MOST_ROUNDS = 60
 
 
@@ -62,7 +63,8 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(low, F.col("a") == F.col("u")).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
         small = large.join(low, F.col("a") == F.col("u")).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x"))
-        now = materialize(small.select("x.a", "x.b").filter("a <> b").distinct(), "links")
+        last, now = now, materialize(small.select("x.a", "x.b").filter("a <> b").distinct(), "links")
+        discard(last)
     else:
         raise RuntimeError("components did not converge")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -7,6 +7,7 @@ import ctypes
 import sys
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -14,13 +15,6 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Workers live on from task to task. Large arrays are given back to the system when they are freed (by default
-# their memory stays with the process, more so with every size in use), as are Arrow's buffers.
-if sys.platform == "linux":
-    with contextlib.suppress(OSError, AttributeError):
-        ctypes.CDLL(None).mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
-    pa.set_memory_pool(pa.system_memory_pool())
-
 #: A word is a maximal run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows up to which a table of one short row per group may be broadcast.
@@ -31,17 +25,46 @@ CHUNK_BYTES = 2_000_000
 BATCH_BYTES = 4_000_000
 
 
+_settled = False
+
+
+def settle() -> None:
+    """In a worker: give large arrays and Arrow's buffers back to the system when they are freed.
+
+    Workers live on from task to task, and by default that memory stays with the process, more so with every size
+    in use. Only functions that run on executors call this; the driver's allocator is left alone.
+    """
+    global _settled
+    if not _settled and sys.platform == "linux":
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+        pa.set_memory_pool(pa.system_memory_pool())
+    _settled = True
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none."""
+    """The folder that driver and executors share. A local session without one gets a temporary folder; a cluster must name one."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="causeway-checkpoints-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base
 
 
+def _path(spark: SparkSession, where: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def new_table_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/causeway/{uuid.uuid4().hex}/{label}"
+    """A new folder below the session's own one, which goes when the session's JVM ends."""
+    own = f"{shared_dir(spark).rstrip('/')}/causeway/{spark.sparkContext.applicationId}"
+    path, fs = _path(spark, own)
+    fs.mkdirs(path)  # what is not there is not marked
+    fs.deleteOnExit(path)
+    return f"{own}/{uuid.uuid4().hex}/{label}"
 
 
 def materialize(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
@@ -49,18 +72,33 @@ def materialize(df: DataFrame, label: str, compression: str = "snappy") -> DataF
     spark = df.sparkSession
     path = new_table_path(spark, label)
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._causeway_table = path
+    return out
+
 
+def discard(*tables: DataFrame) -> None:
+    """Remove materialised tables of which nothing that is still to run reads."""
+    for t in tables:
+        path, fs = _path(t.sparkSession, t._causeway_table)
+        fs.delete(path, True)
 
-def map_arrow(df: DataFrame, f, schema) -> DataFrame:
+
+def map_arrow(df: DataFrame, f: Callable, schema) -> DataFrame:
     """df.mapInArrow with batches of bounded bytes, which 10,000 long texts are not.
 
-    The session's bound is lowered to BATCH_BYTES unless the user has lowered it already.
+    The session's bound is lowered to BATCH_BYTES unless the user has lowered it already; Spark reads it when the
+    plan runs, so it cannot be put back here.
     """
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     if int((conf.get(name, None) or "67108864").rstrip("b")) >= 67108864:
         conf.set(name, str(BATCH_BYTES))
-    return df.mapInArrow(f, schema)
+
+    def run(batches):
+        settle()
+        yield from f(batches)
+
+    return df.mapInArrow(run, schema)
 
 
 def release(spark: SparkSession) -> None:

@@ -36,15 +36,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def prefix(raw: np.ndarray) -> np.ndarray:
-    """Sums by which the hash of any range of bytes is had from its two ends."""
-    out = np.zeros(len(raw) + 1, _U)
-    np.cumsum(SPREAD[raw] * powers(BASE, len(raw)), out=out[1:])
+def sums(value: np.ndarray) -> np.ndarray:
+    """Sums by which the hash of any range of symbols (64 bits each) is had from its two ends."""
+    out = np.zeros(len(value) + 1, _U)
+    np.cumsum(value * powers(BASE, len(value)), out=out[1:])
     return out
 
 
-def ranges(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return mix((sums[end] - sums[start]) * powers(INVERSE, len(sums))[start])
+def prefix(raw: np.ndarray) -> np.ndarray:
+    """The same for bytes."""
+    return sums(SPREAD[raw])
+
+
+def ranges(summed: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return mix((summed[end] - summed[start]) * powers(INVERSE, len(summed))[start])
 
 
 def find(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

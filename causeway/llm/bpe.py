@@ -5,7 +5,8 @@ table. New words go to DuckDB as rows of token and position. A recursive query j
 the merge table, finds each word's leftmost pair of minimum rank, contracts it, and goes on until no word has a
 pair left; it is cut into rounds of STEPS steps so that what a query holds is bounded. Words over LONG bytes
 contract all occurrences of their minimum pair in a step, from left to right, which ends in the same tokens
-since a merge never makes a pair of lower rank than its own. Decoding is an ordered aggregation of token bytes.
+since a merge never makes a pair of lower rank than its own. Decoding is an ordered aggregation of token bytes, in
+DuckDB too: of the ids that were given out, never of what words are known to stand for, TOGETHER ids at a time.
 
 Defined cases. Null or empty text: no tokens. Text of any length: worked on whole; a word of any length is
 encoded, in rounds. Lone surrogates cannot occur in Arrow strings. Repeated rows and a null doc_id: as any
@@ -21,6 +22,7 @@ from collections.abc import Iterator
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -28,6 +30,8 @@ from ._pieces import PieceTable, gather
 from ._shared import map_arrow, slices
 
 STEPS, LONG = 24, 48
+#: Ids that are decoded at once.
+TOGETHER = 400_000
 #: Words that a worker keeps, and new words that a query takes at once (by bytes).
 KEPT, BATCH_BYTES = 400_000, 500_000
 
@@ -93,7 +97,6 @@ class Codec:
 
     def _forget(self) -> None:
         self.tok, self.tok_at = np.zeros(0, np.int32), np.zeros(1, np.int64)
-        self.raw, self.raw_at = np.zeros(0, np.uint8), np.zeros(1, np.int64)
 
     def fixpoint(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Word and token of each final row, in order."""
@@ -118,47 +121,38 @@ class Codec:
         order = np.argsort(k)
         return k[order] >> 32, tok[order].astype(np.int32)
 
-    def joined(self, group: np.ndarray, tok: np.ndarray) -> dict[int, bytes]:
-        """Bytes of each group's tokens, in order."""
-        rows = pa.table({"g": group.astype(np.int64), "pos": np.arange(len(tok)), "tok": tok.astype(np.int64)})  # noqa: F841
-        found = self.db.execute("SELECT g, string_agg(hx, '' ORDER BY pos) AS hx FROM rows JOIN tokens USING (tok) GROUP BY g").fetchall()
-        return {g: bytes.fromhex(hx) for g, hx in found}
+    def decode(self, ids: np.ndarray, at: np.ndarray) -> list[bytes]:
+        """Bytes of the ids of each list [at[k]:at[k + 1]]; an id that is none raises ValueError."""
+        out: list[list[bytes]] = [[] for _ in range(len(at) - 1)]
+        own = np.repeat(np.arange(len(at) - 1), np.diff(at))
+        for a in range(0, len(ids), TOGETHER):
+            part = ids[a : a + TOGETHER].astype(np.int64)
+            rows = pa.table({"g": own[a : a + TOGETHER], "pos": np.arange(len(part)), "tok": part})  # noqa: F841
+            found = self.db.execute("SELECT g, count(*) AS n, string_agg(hx, '' ORDER BY pos) AS hx FROM rows JOIN tokens USING (tok) GROUP BY g ORDER BY g").fetchall()
+            if sum(n for _, n, _ in found) != len(part):
+                raise ValueError("an id is not in the vocabulary")
+            for g, _, hx in found:
+                out[g].append(bytes.fromhex(hx))
+        return [b"".join(x) for x in out]
 
     def _learn(self, raw: list[bytes]) -> None:
-        """Encode new words, decode what came out, and keep both."""
+        """Encode new words, and keep their tokens."""
         size = np.cumsum([len(r) for r in raw])
         edge = [0, *(np.flatnonzero(np.diff(size // BATCH_BYTES)) + 1).tolist(), len(raw)]
-        toks, counts, texts = [self.tok], [], [self.raw]
-        lengths = []
+        toks, counts = [self.tok], [np.zeros(0, np.int64)]
         for a, b in zip(edge, edge[1:]):
-            if a == b:
-                continue
-            wid, tok = self.fixpoint(raw[a:b])
-            back = self.joined(wid, tok)
-            toks.append(tok)
-            counts.append(np.bincount(wid, minlength=b - a))
-            whole = [back[i] for i in range(b - a)]
-            lengths += map(len, whole)
-            texts.append(np.frombuffer(b"".join(whole), np.uint8))
-        self.tok, self.raw = np.concatenate(toks), np.concatenate(texts)
+            if a < b:
+                wid, tok = self.fixpoint(raw[a:b])
+                toks.append(tok)
+                counts.append(np.bincount(wid, minlength=b - a))
+        self.tok = np.concatenate(toks)
         self.tok_at = np.concatenate([self.tok_at, self.tok_at[-1] + np.cumsum(np.concatenate(counts))])
-        self.raw_at = np.concatenate([self.raw_at, self.raw_at[-1] + np.cumsum(lengths)])
 
     def encode(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's start."""
         code, edge = self.table.codes(col)  # may add to what gather() reads
         return gather(self.tok, self.tok_at, code, edge)
 
-    def round_trip(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """As encode(), and the bytes that the ids of each word decode to, with starts."""
-        code, edge = self.table.codes(col)
-        return (*gather(self.tok, self.tok_at, code, edge), *gather(self.raw, self.raw_at, code, edge))
-
-    def decode(self, ids: list[np.ndarray]) -> list[bytes]:
-        """Bytes of each list of ids."""
-        found = self.joined(np.repeat(np.arange(len(ids)), [len(x) for x in ids]), np.concatenate([np.zeros(0, np.int64), *ids]))
-        return [found.get(i, b"") for i in range(len(ids))]
-
 
 _CODECS: dict[tuple, Codec] = {}
 
@@ -205,8 +199,10 @@ def decode(tokens: DataFrame, path: str | None = None) -> DataFrame:
         for batch in batches:
             for a in range(0, len(batch), 256):
                 part = batch.slice(a, 256)
-                ids = [np.array(x.as_py() or [], np.int64) for x in part.column("ids")]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(own.decode(ids), pa.binary())], [*part.schema.names, "decoded"])
+                lists = part.column("ids")
+                at = np.cumsum([0, *pc.fill_null(pc.list_value_length(lists), 0).to_pylist()])
+                ids = lists.flatten().to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(own.decode(ids, at), pa.binary())], [*part.schema.names, "decoded"])
 
     return map_arrow(tokens, apply, schema)
 
@@ -218,11 +214,12 @@ def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(*shared.value)
-        sha = lambda data, at: [hashlib.sha256(memoryview(data)[a:b]).hexdigest() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+        sha = lambda parts: pa.array([hashlib.sha256(x).hexdigest() for x in parts], pa.string())
         for batch in batches:
             for part in slices(batch):
-                ids, at, raw, raw_at = own.round_trip(part.column("text"))
-                cols = [part.column("doc_id"), pa.array(np.diff(at), pa.int64()), pa.array(sha(ids.astype("<u4"), at), pa.string()), pa.array(sha(raw, raw_at), pa.string())]
+                ids, at = own.encode(part.column("text"))
+                raw = memoryview(ids.astype("<u4").tobytes())
+                cols = [part.column("doc_id"), pa.array(np.diff(at), pa.int64()), sha(raw[4 * a : 4 * b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())), sha(own.decode(ids, at))]
                 yield pa.RecordBatch.from_arrays(cols, schema.fieldNames())
 
     return map_arrow(docs.select("doc_id", "text"), apply, schema)

@@ -1,7 +1,8 @@
 """Language identification by prediction by partial matching.
 
 For each language a tree of byte contexts of order 0 to ORDER is counted from a bounded sample of its
-documents (DOCS documents a language by expectation, DOCS * 5 // 4 at most, none over LONGEST bytes). A byte
+documents: in the order of a hash of doc_id and text, DOCS * 5 // 4 documents at most (DOCS by expectation) and as many
+as hold BYTES bytes together, but one at least, whole and however long. A byte
 costs -log2(c / (n + d)) in the longest context that has seen it, where a context seen n times with d
 different bytes is left by an escape of probability d / (n + d); below order 0 bytes are equally likely. The
 statistics are frozen, so a byte's cost depends on it and the ORDER bytes before it alone; the exact cost of
@@ -10,8 +11,8 @@ code wins; the score is its share of 2 ** -length over all languages.
 
 Defined cases. Null text, or text without a letter: `und` with score 0. No training document at all: `und`
 for every text. Ties go to the language that comes first by code point. Null lang: never learned. A null
-doc_id counts as the empty text in the hold-out rule. Repeated rows are predicted alike. Other columns are
-ignored.
+doc_id counts as the empty text in the hold-out rule. Repeated rows are predicted alike and learned from once.
+Texts of any length are scored whole. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +27,8 @@ from pyspark.sql import functions as F
 from ._shared import as_bytes, crc_mod, fraction, guarded, map_arrow, materialize, slices
 
 ORDER = 4
-DOCS, LONGEST = 400, 200_000
+#: Bounds of the sample of a language.
+DOCS, BYTES = 400, 4_000_000
 #: Slots of a worker's table of costs.
 TABLE_BITS = 20
 HELD_OUT = 2
@@ -132,16 +134,30 @@ def predict(col: pa.Array, langs: list[str], scorer: Scorer) -> tuple[list[str],
     return [langs[b] if ok else "und" for b, ok in zip(best, letter)], np.where(letter, share, 0.0)
 
 
-def fit(docs: DataFrame, per_lang: int = DOCS) -> tuple[list[str], list[Tree]]:
+def fit(docs: DataFrame, per_lang: int = DOCS, most: int = BYTES) -> tuple[list[str], list[Tree]]:
     """Trees from the documents that are not held out."""
-    known = docs.select("doc_id", "text", "lang").filter("lang IS NOT NULL").filter(crc_mod("doc_id", 4) != HELD_OUT)
-    share = materialize(known.groupBy("lang").agg((F.lit(float(per_lang)) / F.count("*")).alias("share")), "shares")
-    fits = known.filter((F.octet_length("text") > 0) & (F.octet_length("text") <= LONGEST))
-    rows = fits.join(guarded(share), "lang").filter(fraction(F.col("doc_id"), F.lit(5)) < F.col("share")).select("lang", "text", fraction(F.col("doc_id"), F.lit(5)).alias("u"))
-    samples: dict[str, list[tuple]] = {}
+    order = fraction(F.col("doc_id"), F.col("text"), F.lit(5))
+    known = docs.select("doc_id", "text", "lang").filter("lang IS NOT NULL").filter(crc_mod("doc_id", 4) != HELD_OUT).filter(F.octet_length("text") > 0)
+    counts = materialize(known.groupBy("lang").agg((F.lit(float(per_lang)) / F.count("*")).alias("share"), F.min(order).alias("first")), "shares")
+    # The first document of each language by the hash, and those below its share: about per_lang of them
+    near = known.join(guarded(counts), "lang").withColumn("u", order).filter("u < share OR u = first")
+    sizes = near.select("lang", "u", F.octet_length("text").alias("size"), F.xxhash64("text").alias("code")).distinct().orderBy("lang", "u", "code")
+    taken: list[tuple] = []
+    now, count, held = None, 0, 0
+    for r in sizes.toLocalIterator():
+        if r["lang"] != now:
+            now, count, held = r["lang"], 0, 0
+        if not count or count < per_lang * 5 // 4 and held + r["size"] <= most:
+            taken.append((r["lang"], r["u"], r["code"]))
+        count, held = count + 1, held + r["size"]
+    if not taken:
+        return [], []
+    pick = docs.sparkSession.createDataFrame(taken, "lang string, u double, code long").distinct()  # some hundred rows a language
+    rows = near.withColumn("code", F.xxhash64("text")).join(F.broadcast(pick), ["lang", "u", "code"], "left_semi").dropDuplicates(["lang", "u", "code"]).select("lang", "text")
+    samples: dict[str, list[str]] = {}
     for r in rows.toLocalIterator():
-        samples.setdefault(r["lang"], []).append((r["u"], r["text"]))
-    return learn({k: [x for _, x in sorted(v)[: per_lang * 5 // 4]] for k, v in samples.items()})
+        samples.setdefault(r["lang"], []).append(r["text"])
+    return learn(samples)
 
 
 def identify(docs: DataFrame, model: tuple[list[str], list[Tree]] | None = None) -> DataFrame:

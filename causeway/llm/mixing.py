@@ -6,9 +6,13 @@ budget. Complete epochs are taken before that fractional selection. No source is
 the cut is found by radix descent over key slots, each level a partial aggregation with at most 4096 rows
 a source, so a source with a third of all rows costs no more in one task than any other.
 
+The quality weight of a document comes from its text (length, word length, symbols) unless a column of weights
+is named, such as a classifier's scores.
+
 Defined cases. Null or empty text: size 0, taken 0. Null source: a source of its own, ordered last. Null
-or repeated doc_id: the key also depends on the text; rows alike in both are taken or left together. A
-source without words: target 0. An empty table gives an empty result. Other columns pass through
+or repeated doc_id: the key also depends on the text; of rows alike in doc_id, text and source each is numbered
+and draws a key of its own (which of them gets which number is not defined, nor does it change doc_id or size).
+So a source misses its target by half of one document at most. A source without words: target 0. An empty table gives an empty result. Other columns pass through
 untouched, whatever their names; in mix(), a column named like one of the results is replaced by it.
 """
 
@@ -21,8 +25,8 @@ from ._shared import WORD, guarded, materialize
 
 #: Quality weights lie between this and 1.
 LEAST_WEIGHT = 0.25
-#: Bits of each level of the descent.
-BITS = 12
+#: Bits of each level of the descent; rows alike that a task numbers.
+BITS, BLOCK = 12, 100_000
 OUT = ("size", "source_size", "target", "taken")
 
 
@@ -31,14 +35,20 @@ def word_count(text: Column) -> Column:
 
 
 def quality_weight(size: Column, text: Column) -> Column:
-    """1 for documents of ordinary length and word length; halved for each that is not."""
+    """1 for documents of ordinary length, word length and few symbols; halved for each that they are not."""
     mean = F.when(size > 0, F.length(text) / size)
-    return (F.when(size.between(50, 100_000), 1.0).otherwise(0.5) * F.when(mean.between(3, 12), 1.0).otherwise(0.5)).cast("double")
+    symbols = F.length(text) - F.length(F.translate(text, "#*$%&|<>{}", ""))
+    return (F.when(size.between(50, 100_000), 1.0).otherwise(0.5) * F.when(mean.between(3, 12), 1.0).otherwise(0.5) * F.when(10 * symbols <= size, 1.0).otherwise(0.5)).cast("double")
+
+
+def _code(doc_id: Column, text: Column) -> Column:
+    return F.md5(F.encode(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.coalesce(text, F.lit(""))), "utf-8"))
 
 
-def _key(doc_id: Column, text: Column, weight: Column) -> Column:
-    text = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.coalesce(text, F.lit("")))
-    u = (F.conv(F.substring(F.md5(F.encode(text, "utf-8")), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+def _key(code: Column, number: Column, weight: Column) -> Column:
+    """number: of a row among those alike, from 0."""
+    own = F.when(number == 0, code).otherwise(F.md5(F.encode(F.concat(code, F.lit(":"), number.cast("string")), "utf-8")))
+    u = (F.conv(F.substring(own, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
     return -F.log(u) / weight
 
 
@@ -64,12 +74,40 @@ def targets(sizes: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float
     return filled.withColumn("first", first).select("source", "source_size", F.coalesce(F.least(full, F.col("first") * F.col("w")), full).cast("double").alias("target"))
 
 
-def _with_key(docs: DataFrame, quality: str | None) -> DataFrame:
-    """doc_id, source, size, key, and the whole row apart, so that no name of its columns can clash."""
+def _with_code(docs: DataFrame, quality: str | None) -> DataFrame:
+    """doc_id, source, size, _code, _w, and the whole row apart, so that no name of its columns can clash."""
     d = docs.select("doc_id", "source", "text", (F.col(f"`{quality}`").cast("double") if quality else F.lit(None).cast("double")).alias("_w"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     d = d.withColumn("size", word_count(F.col("text")))
-    w = F.greatest(F.lit(LEAST_WEIGHT), F.least(F.lit(1.0), F.coalesce("_w", F.lit(1.0)))) if quality else quality_weight(F.col("size"), F.coalesce(F.col("text"), F.lit("")))
-    return d.withColumn("_w", F.coalesce(w, F.lit(LEAST_WEIGHT))).withColumn("_key", _key(F.col("doc_id"), F.col("text"), F.col("_w"))).select("doc_id", "source", "size", "_key", "_row")
+    w = F.coalesce("_w", F.lit(1.0)) if quality else quality_weight(F.col("size"), F.coalesce(F.col("text"), F.lit("")))
+    w = F.greatest(F.lit(LEAST_WEIGHT), F.least(F.lit(1.0), F.coalesce(w, F.lit(LEAST_WEIGHT))))
+    return d.select("doc_id", "source", "size", _code(F.col("doc_id"), F.col("text")).alias("_code"), w.alias("_w"), "_row")
+
+
+def _alike(by: str = "_code") -> Column:
+    return F.xxhash64("source", by)
+
+
+def _numbered(rows: DataFrame, again: DataFrame | None) -> DataFrame:
+    """rows with _key instead of _code and _w. again: (_same) of rows that have others like them, if there are any.
+
+    Those are written and numbered by their place: within blocks of BLOCK rows of a file in a task each, and
+    shifted by the rows of the blocks before, so that any number of rows alike is numbered by many tasks.
+    """
+    kept = [c for c in rows.columns if c not in ("_code", "_w")]
+    if again is None:
+        return rows.select(*kept, _key(F.col("_code"), F.lit(0), F.col("_w")).alias("_key"))
+    rows = rows.withColumn("_same", _alike())
+    lone = rows.join(guarded(again), "_same", "left_anti").withColumn("_n", F.lit(0).cast("long"))
+    many = materialize(rows.join(guarded(again), "_same", "left_semi"), "alike")
+    block = F.struct(F.col("_metadata.file_name").alias("f"), F.floor(F.col("_metadata.row_index") / BLOCK).alias("k"))
+    many = many.select(*many.columns, block.alias("_block"), F.col("_metadata.row_index").alias("_at"))
+    sizes = many.groupBy("_same", "_block").agg(F.count("*").alias("_c"))
+    before = F.sum("_c").over(Window.partitionBy("_same").orderBy("_block").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_c")
+    sizes = sizes.select(F.col("_same").alias("_s"), F.col("_block").alias("_b"), before.alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_same", "_block").orderBy("_at")) - 1
+    many = many.withColumn("_own", own).join(sizes, (F.col("_same") == F.col("_s")) & (F.col("_block") == F.col("_b")))
+    every = lone.select(*kept, "_code", "_w", "_n").union(many.select(*kept, "_code", "_w", (F.col("_own") + F.col("_before")).alias("_n")))
+    return every.select(*kept, _key(F.col("_code"), F.col("_n"), F.col("_w")).alias("_key"))
 
 
 def mix(docs: DataFrame, *, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0, quality: str | None = None, thin: bool = False, packed: bool = False) -> DataFrame:
@@ -77,8 +115,12 @@ def mix(docs: DataFrame, *, weights=(5, 2, 1), share: float = 1.5, cap: float =
 
     thin: keep doc_id and source alone, so that the text is read once. packed: keep the row as one column, _row.
     """
-    keyed = _with_key(docs, quality)
-    rows = materialize(keyed.select("doc_id", "source", "size", "_key"), "keys")
+    coded = _with_code(docs, quality)
+    rows = materialize(coded.drop("_row"), "codes")
+    again = materialize(rows.groupBy(_alike().alias("_same")).agg(F.count("*").alias("n")).filter("n > 1").select("_same"), "again")
+    again = again if again.limit(1).count() else None
+    rows = _numbered(rows, again)
+    rows = materialize(rows, "keys") if again is not None else rows
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     goal = materialize(
         targets(sizes, weights, share, cap)
@@ -100,7 +142,7 @@ def mix(docs: DataFrame, *, weights=(5, 2, 1), share: float = 1.5, cap: float =
     slot = _slot(F.col("_key"), 2 * BITS)
     chosen = (F.col("slot").isNull() | (slot < F.col("slot")) | ((slot == F.col("slot")) & (F.col("_key") <= F.col("cut"))))
     kept = ["doc_id", "source"] if thin else ["_row"]
-    own = rows if thin else keyed
+    own = rows if thin else _numbered(coded, again)
     joined = own.join(guarded(plan), F.col("source").eqNullSafe(F.col("_s")), "inner")
     taken = F.col("size") * (F.col("epochs") + F.when(F.coalesce(chosen, F.lit(False)), 1).otherwise(0))
     out = joined.select(*kept, "size", "source_size", "target", taken.cast("long").alias("taken"))
@@ -131,11 +173,16 @@ def mixture(docs: DataFrame, **how) -> DataFrame:
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(text, '') AS t, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents
+), c AS (
+  SELECT *, md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || t) AS code FROM d
+), n AS (
+  SELECT *, row_number() OVER (PARTITION BY source, code) - 1 AS number FROM c
 ), k AS (
   SELECT doc_id, source, size,
-    -ln((('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || t), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0)
-      / coalesce((CASE WHEN size BETWEEN 50 AND 100000 THEN 1.0 ELSE 0.5 END) * (CASE WHEN size > 0 AND length(t)::DOUBLE / size BETWEEN 3 AND 12 THEN 1.0 ELSE 0.5 END), 0.25)::DOUBLE AS key
-  FROM d
+    -ln((('0x' || substr(CASE WHEN number = 0 THEN code ELSE md5(code || ':' || CAST(number AS VARCHAR)) END, 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0)
+      / greatest(0.25, (CASE WHEN size BETWEEN 50 AND 100000 THEN 1.0 ELSE 0.5 END) * (CASE WHEN size > 0 AND length(t)::DOUBLE / size BETWEEN 3 AND 12 THEN 1.0 ELSE 0.5 END)
+        * (CASE WHEN 10 * (length(t) - length(translate(t, '#*$%&|<>{}', ''))) <= size THEN 1.0 ELSE 0.5 END))::DOUBLE AS key
+  FROM n
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM k GROUP BY source
 ), w AS (

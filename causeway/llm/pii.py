@@ -60,7 +60,9 @@ _EXTRA = {"。": ".", "․": ".", "‐": "-", "‑": "-", "‒": "-", "–": "-"
 _AT = "|".join(AT_WORDS)
 _DOT = "|".join(DOT_WORDS)
 _BRACKET = re.compile(rf"[ ]?[(\[{{<] ?(?:({_AT}|@)|({_DOT}|\.)) ?[)\]}}>][ ]?", re.I)
-_PROSE = re.compile(rf"(?<![\w.@+-])([a-z0-9._%+-]{{1,64}}(?: (?:{_DOT}) [a-z0-9._%+-]{{1,64}}){{0,5}})(?:( (?:{_AT}) )|@)([a-z0-9-]{{1,63}}(?:(?: (?:{_DOT}) |\.)[a-z0-9-]{{1,63}}){{1,5}})(?![\w@])", re.I)
+# A local part begins at no part of another one, so that each is read once, however long it is.
+_FIRST = "".join(f"(?<! {w} )" for w in DOT_WORDS)
+_PROSE = re.compile(rf"(?<![\w.@+-]){_FIRST}([a-z0-9._%+-]++(?: (?:{_DOT}) [a-z0-9._%+-]++)*+)(?:( (?:{_AT}) )|@)([a-z0-9-]++(?:(?: (?:{_DOT}) |\.)[a-z0-9-]++)+)(?![\w@])", re.I)
 _PROSE_DOT = re.compile(rf" (?:{_DOT}) ", re.I)
 _TOKEN = "|".join(sorted(DIGIT_OF, key=len, reverse=True))
 _RUN = re.compile(rf"(?<!\w)(?:(?:plus|{_TOKEN}|{_DOT}|[0-9]{{1,19}}|\+)(?:[ ,-]{{1,2}}|(?=\W)|$)){{2,}}", re.I)
@@ -253,7 +255,7 @@ def joined(found: dict[str, list[tuple[int, int]]]) -> str:
 
 
 def detect(docs: DataFrame) -> DataFrame:
-    """doc_id with counts of base spans, the digest of base spans, all spans, and how many the method added."""
+    """doc_id with counts of base spans, the digest of base spans, all spans, their number, and how many of them the method added."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -261,11 +263,12 @@ def detect(docs: DataFrame) -> DataFrame:
                 rows = [spans(x) for x in part.column("text").to_pylist()]
                 n = [pa.array([len(b[k]) for b, _ in rows], pa.int64()) for k in KINDS]
                 sha = pa.array([hashlib.sha256(joined(b).encode()).hexdigest() for b, _ in rows], pa.string())
-                added = pa.array([sum(map(len, m.values())) - sum(map(len, b.values())) for b, m in rows], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *n, sha, pa.array([joined(m) for _, m in rows], pa.string()), added], ["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans", "n_added"])
+                every = [sum(map(len, m.values())) for _, m in rows]
+                added = [e - sum(map(len, b.values())) for e, (b, _) in zip(every, rows)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *n, sha, pa.array([joined(m) for _, m in rows], pa.string()), pa.array(every, pa.int64()), pa.array(added, pa.int64())], ["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans", "n_spans", "n_added"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return map_arrow(docs.select("doc_id", "text"), apply, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return map_arrow(docs.select("doc_id", "text"), apply, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long, n_added long")
 
 
 def redact_text(text: str | None) -> str | None:

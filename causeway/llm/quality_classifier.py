@@ -1,15 +1,17 @@
 """Quality classifier: hashed word n-gram logistic regression, trained by follow-the-regularised-leader.
 
 Features are hashed single words, pairs of words, word shapes, pairs of shapes and whether a word repeats the
-one before, each family weighing alike whatever the length of the text. The model is fitted on the driver
-from a bounded sample of labelled documents (SAMPLE rows
-and SAMPLE_BYTES of text at most, chosen by a hash of doc_id), and every whole text is
+one before, each family weighing alike whatever the length of the text. The model is fitted on the driver from a
+bounded sample of labelled documents: in the order of a hash of doc_id, SAMPLE documents at most and as many as
+hold SAMPLE_FEATURES different features together. Executors make the features of whole texts of any length, so
+no text is too long to be learned from, and the driver gets two short numbers a feature. Every whole text is
 scored as a sparse dot product in Arrow batches.
 
 Defined cases. Null or empty text: no features, the score is the model's bias. No usable label: every score is
 0.5. A null quality is no label; where a doc_id has several labels the smallest holds. A null doc_id counts as
-the empty text in the hold-out rule and never joins a label. Repeated rows score alike. Other columns pass
-through `scored`; columns named held_out, score or predicted are replaced.
+the empty text in the hold-out rule and never joins a label. Repeated rows score alike; of rows that share a
+labelled doc_id each may be in the sample. An empty table gives an empty result. Other columns pass through
+`scored` and `keep_good`; in `scored`, columns named held_out, score or predicted are replaced.
 """
 
 from __future__ import annotations
@@ -25,8 +27,8 @@ from pyspark.sql import types as T
 from . import _words as words
 from ._shared import as_bytes, crc_mod, fraction, map_arrow, slices
 
-#: Bounds of the training sample, and of a text in it.
-SAMPLE, SAMPLE_BYTES, LONGEST = 4000, 12_000_000, 100_000
+#: Bounds of the training sample: documents, and different features of all of them together (8 bytes each).
+SAMPLE, SAMPLE_FEATURES = 4000, 6_000_000
 SLOTS = 1 << 18
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.15, 1.0, 0.02, 0.5
@@ -55,21 +57,17 @@ def features(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return slot, np.concatenate([w[d] for _, d, w in families]), np.concatenate([d for _, d, _ in families])
 
 
-def train(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
-    """Weights and bias by FTRL-proximal, one document at a time."""
+def bags(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Slots and summed values of each text's features, in order of slot, and where each text's start."""
+    slot, value, doc = features(*as_bytes(col))
+    key, inverse = np.unique(doc * SLOTS + slot, return_inverse=True)
+    value = np.bincount(inverse, value, minlength=len(key))
+    return key % SLOTS, value, np.searchsorted(key // SLOTS, np.arange(len(col) + 1))
+
+
+def train(slot: np.ndarray, value: np.ndarray, edge: np.ndarray, labels: list[int], epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
+    """Weights and bias by FTRL-proximal, one document at a time; document k has slot and value [edge[k]:edge[k + 1]]."""
     z, n = np.zeros(SLOTS + 1), np.zeros(SLOTS + 1)
-    if not texts:
-        return np.zeros(SLOTS, np.float32), 0.0
-    keys, values, done = [], [], 0
-    for part in slices(pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], ["text"]), limit=1_000_000):
-        slot, value, doc = features(*as_bytes(part.column("text")))
-        key, inverse = np.unique((doc + done) * SLOTS + slot, return_inverse=True)
-        keys.append(key)
-        values.append(np.bincount(inverse, value, minlength=len(key)))
-        done += len(part)
-    key, value = np.concatenate(keys), np.concatenate(values)
-    doc, slot = key // SLOTS, key % SLOTS
-    edge = np.searchsorted(doc, np.arange(len(texts) + 1))
     order = np.random.default_rng(7)
 
     def weight(i: np.ndarray) -> np.ndarray:
@@ -78,7 +76,7 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> tuple[np
         return np.where(np.abs(zi) <= L1, 0.0, w)
 
     for _ in range(epochs):
-        for k in order.permutation(len(texts)):
+        for k in order.permutation(len(labels)):
             i = np.append(slot[edge[k] : edge[k + 1]], SLOTS)
             x = np.append(value[edge[k] : edge[k + 1]], 1.0)
             w = weight(i)
@@ -97,23 +95,38 @@ def score_batch(col: pa.Array, weights: np.ndarray, bias: float) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(dot, -35, 35)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
-    """Learn from labelled documents that are not held out."""
+def chosen(labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """doc_id, _quality and _order of the first `sample` labelled documents by a hash of doc_id, held-out ones left out."""
     known = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").filter(crc_mod("doc_id", 5) != HELD_OUT)
-    share = min(1.0, sample / max(1, known.count()))
-    order = fraction(F.col("doc_id"), F.lit(11))
-    chosen = known.filter(order < share).groupBy("doc_id").agg(F.min("quality").alias("_quality")).orderBy(fraction(F.col("doc_id"), F.lit(11)), "doc_id").limit(sample)
-    own = docs.select("doc_id", "text").filter(F.octet_length(F.coalesce("text", F.lit(""))) <= LONGEST)
-    # chosen has `sample` rows of two numbers at most
-    rows = own.join(F.broadcast(chosen), "doc_id").orderBy("doc_id", F.xxhash64("text")).limit(2 * sample).toLocalIterator()
-    texts, marks, held = [], [], 0
-    for r in rows:
-        held += len(r["text"] or "")
-        if held > SAMPLE_BYTES:
+    # Every doc_id of labels, so few of them that a top-k of a task each will do.
+    one = known.groupBy("doc_id").agg(F.min("quality").alias("_quality"))
+    return one.withColumn("_order", fraction(F.col("doc_id"), F.lit(11))).orderBy("_order", "doc_id").limit(sample)
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = SAMPLE_FEATURES) -> tuple[np.ndarray, float]:
+    """Learn from labelled documents that are not held out."""
+    # `sample` rows of three numbers at most
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen(labels, sample)), "doc_id").select("_order", F.xxhash64("text").alias("tie"), F.col("_quality").cast("long").alias("label"), "text")
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                slot, value, edge = bags(part.column("text"))
+                pack = lambda x, kind: pa.array([x[a:b].astype(kind).tobytes() for a, b in zip(edge, edge[1:])], pa.binary())
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("_order", "tie", "label")], pa.array(np.diff(edge), pa.int64()), pack(slot, "<u4"), pack(value, "<f4")], ["_order", "tie", "label", "n", "slot", "value"])
+
+    made = map_arrow(rows, apply, "_order double, tie long, label long, n long, slot binary, value binary")
+    slots, values, edge, marks = [], [], [0], []
+    for r in made.orderBy("_order", "tie").limit(2 * sample).toLocalIterator():
+        if marks and edge[-1] + r["n"] > most:
             break
-        texts.append(r["text"] or "")
-        marks.append(int(r["_quality"] > 0))
-    return train(texts, marks)
+        slots.append(np.frombuffer(r["slot"], "<u4"))
+        values.append(np.frombuffer(r["value"], "<f4"))
+        edge.append(edge[-1] + r["n"])
+        marks.append(int(r["label"] > 0))
+    if not marks:
+        return np.zeros(SLOTS, np.float32), 0.0
+    return train(np.concatenate(slots).astype(np.int64), np.concatenate(values).astype(float), np.array(edge), marks)
 
 
 def scored(docs: DataFrame, labels: DataFrame, model: tuple[np.ndarray, float] | None = None, carry: list[str] | None = None) -> DataFrame:

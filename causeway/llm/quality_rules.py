@@ -5,8 +5,8 @@ each ratio is kept: counts of log-linear bins (exact below 64, then 32 bins for
 quantile is off by at most 1/32 of its value). Sketches merge by adding counts, are built with map-side
 partial aggregation, and hold at most some hundred bins a group, so a hot group is no larger than another.
 A document is rejected if one of its ratios lies beyond the group's outer fence, which is derived from the
-sketch's quartiles and replaces a fixed cutoff. Groups of fewer than MIN_GROUP documents use the fences of
-all documents.
+sketch's quartiles and replaces a fixed cutoff. A group of fewer than MIN_GROUP documents has no quartiles worth
+the name and uses the fences of all documents, so a verdict in it can change once the group has grown.
 
 Defined cases. Null or empty text: all counts 0, base_failed, not kept. Null lang or source: a group of its
 own. Repeated rows: each is judged alone and counts in the sketches. An empty table gives an empty result.
@@ -34,8 +34,8 @@ RULES = {
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def counts(docs: DataFrame) -> DataFrame:
-    """The base counts of whole texts."""
+def counts(docs: DataFrame, spare: int = 0) -> DataFrame:
+    """The base counts of whole texts. spare: bits by which the hash of windows is shortened, for tests."""
     text = F.coalesce(F.col("text"), F.lit(""))
     # Arrays that lambdas read are columns of their own, so that none is built anew for each element.
     d = docs.select("doc_id", "lang", "source", text.alias("text")).withColumn("words", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
@@ -49,7 +49,7 @@ def counts(docs: DataFrame) -> DataFrame:
     )
     # A window's hash and place share a long: as few low bits as the places need, the hash above them.
     bits = F.length(F.bin(F.col("n").cast("long"))).cast("int")
-    d = d.withColumn("shift", bits)
+    d = d.withColumn("shift", bits + F.lit(spare))
     pack = "transform(sequence(0, n - 3), i -> shiftleft(xxhash64(words[i], words[i + 1], words[i + 2]), shift) | i)"
     d = d.withColumn("packed", F.expr(f"CASE WHEN n >= 4 THEN sort_array({pack}) ELSE array() END"))
     d = d.withColumn("m", F.size("packed"))
@@ -57,11 +57,16 @@ def counts(docs: DataFrame) -> DataFrame:
     d = d.withColumn("low", F.expr("shiftleft(1L, shift) - 1"))
     place = lambda x, k: f"words[cast({x} & low as int) + {k}]"
     alike = " AND ".join(f"{place('a', k)} = {place('b', k)}" for k in range(3))
-    same = f"zip_with(slice(packed, 1, greatest(m - 1, 0)), slice(packed, 2, greatest(m - 1, 0)), (a, b) -> shiftright(a, shift) = shiftright(b, shift) AND {alike})"
-    d = d.withColumn("same", F.expr(f"CASE WHEN m >= 2 THEN {same} ELSE array() END"))
-    d = d.withColumn("any_same", F.array_contains("same", True))
-    twice = "filter(zip_with(packed, zip_with(array_append(same, false), array_prepend(same, false), (a, b) -> a OR b), (p, s) -> IF(s, p & (shiftleft(1L, shift) - 1), -1L)), p -> p >= 0)"
-    d = d.withColumn("at", F.expr(f"CASE WHEN any_same THEN sort_array({twice}) ELSE array() END")).withColumn("k", F.size("at"))
+    # 0: other hashes, 1: the same window, 2: different windows of one hash, which may part others that are the same
+    same = f"zip_with(slice(packed, 1, greatest(m - 1, 0)), slice(packed, 2, greatest(m - 1, 0)), (a, b) -> CASE WHEN shiftright(a, shift) <> shiftright(b, shift) THEN 0 WHEN {alike} THEN 1 ELSE 2 END)"
+    d = d.withColumn("same", F.expr(f"CASE WHEN m >= 2 THEN {same} ELSE cast(array() AS array<int>) END"))
+    d = d.withColumn("any_same", F.array_contains("same", 1)).withColumn("parted", F.array_contains("same", 2))
+    twice = "filter(zip_with(packed, zip_with(array_append(same, 0), array_prepend(same, 0), (a, b) -> a = 1 OR b = 1), (p, s) -> IF(s, p & low, -1L)), p -> p >= 0)"
+    # Where that happens the windows are sorted by their words.
+    d = d.withColumn("whole", F.expr("CASE WHEN parted THEN sort_array(transform(sequence(0, n - 3), i -> struct(words[i] AS a, words[i + 1] AS b, words[i + 2] AS c, cast(i AS bigint) AS i))) END"))
+    d = d.withColumn("next", F.expr("CASE WHEN parted THEN zip_with(slice(whole, 1, m - 1), slice(whole, 2, m - 1), (x, y) -> x.a = y.a AND x.b = y.b AND x.c = y.c) END"))
+    exact = "filter(zip_with(whole, zip_with(array_append(next, false), array_prepend(next, false), (x, y) -> x OR y), (p, s) -> IF(s, p.i, -1L)), p -> p >= 0)"
+    d = d.withColumn("at", F.expr(f"CASE WHEN parted THEN sort_array({exact}) WHEN any_same THEN sort_array({twice}) ELSE cast(array() AS array<bigint>) END")).withColumn("k", F.size("at"))
     covered = "CASE WHEN k > 0 THEN 3L + aggregate(zip_with(slice(at, 1, k - 1), slice(at, 2, k - 1), (a, b) -> least(3L, b - a)), 0L, (s, x) -> s + x) ELSE 0L END"
     return d.select("doc_id", "lang", "source", F.col("n").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", F.expr(covered).alias("n_repeat_words"))
 

@@ -16,7 +16,8 @@ driver.
 Defined cases. Null, empty or white-space text: fingerprint zero, linked like any other. Fewer than SHINGLE
 words: the whole sequence is the one shingle. Repeated rows, ties: the same component; its id is the smallest
 doc_id in it, null only if all of them are. Other columns are ignored by `near_duplicates` and pass through
-`deduplicate`.
+`deduplicate`, which keeps one row of every component whatever its doc_id: null and repeated ids neither join
+components nor lose rows. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -165,25 +166,48 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, **how) -> DataFrame:
-    """One document of each group, the one with the smallest doc_id; of rows that share it, the first by content.
+def _content(docs: DataFrame) -> "F.Column":
+    """A hash of a whole row; maps, which cannot be hashed, count by their JSON text."""
+    plain = lambda f: F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`")
+    return F.xxhash64(*map(plain, docs.schema.fields))
 
-    Documents without a doc_id form a group only among themselves, as any other.
+
+def _with_rows(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc (doc_id), code (a hash of the row), fp and the columns of docs as c0, c1 .., so that no name can clash."""
+    fields = docs.schema.fields
+    names = [f"c{k}" for k in range(len(fields))]
+    text = names[[f.name for f in fields].index("text")]
+    rows = docs.select(F.col("doc_id").alias("doc"), _content(docs).alias("code"), *[F.col(f"`{f.name}`").alias(n) for f, n in zip(fields, names)])
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text):
+                fp = fingerprints([(x or "").encode() for x in part.column(text).to_pylist()], shingle)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(fp.view(np.int64))], [*part.schema.names, "fp"])
+
+    return map_arrow(rows, apply, T.StructType([*rows.schema.fields, T.StructField("fp", T.LongType())]))
+
+
+def deduplicate(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, bucket: int = BUCKET) -> DataFrame:
+    """One row of each component: the one with the smallest doc_id (null last), of several the first by content.
+
+    A row is known by its place in the table that is written with the fingerprints, never by its doc_id alone. Of a
+    component only the places of rows that go are joined back; texts are not shuffled if those are few.
     """
-    marked = near_duplicates(docs, **how).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    # The row goes apart, so that no name of its columns can clash.
-    rows = docs.select("doc_id", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    kept = rows.join(marked, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    back = [F.col("_row").getField(c).alias(c) for c in docs.columns]
-    # A doc_id is a row as a rule; rows that share one are told apart by a hash of what they hold.
-    code = F.xxhash64("_row")
-    first = kept.select("doc_id", code.alias("_code")).groupBy(F.col("doc_id").alias("_id")).agg(F.min("_code").alias("_code"), F.count("*").alias("_n"))
-    clash = materialize(first.filter("_n > 1").select("_id", "_code"), "clashes")
-    if not clash.limit(1).count():
-        return kept.select(*back)
-    joined = kept.withColumn("_own", code).join(guarded(clash.withColumn("_shared", F.lit(True))), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    one = joined.filter("_shared AND _own = _code").groupBy("_id", "_own").agg(F.first("_row").alias("_row"))
-    return joined.filter("_shared IS NULL").select("_row").union(one.select("_row")).select(*back)
+    rows = materialize(_with_rows(docs, shingle), "rows")
+    place = [F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at")]
+    thin = materialize(rows.select("fp", F.col("doc").isNull().alias("none"), "doc", "code", *place), "places")
+    fps = materialize(thin.select("fp").distinct(), "distinct")
+    roots = components(links(fps, radius, bucket)).toDF("fp", "root")
+    named = thin.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    first = F.min(F.struct("none", "doc", "code", "file", "at"))
+    kept = named.groupBy("root").agg(first.alias("first"), F.count("*").alias("n")).filter("n > 1")
+    # Of a large component one row is met by many: AQE splits such a join, as the one row is on its other side.
+    gone = named.join(kept.select("root", F.col("first.file").alias("_file"), F.col("first.at").alias("_at")), "root").filter("file <> _file OR at <> _at")
+    gone = materialize(gone.select(F.col("file").alias("_file"), F.col("at").alias("_at")), "gone")
+    own = rows.select(*place, *[f"c{k}" for k in range(len(docs.columns))])
+    left = own.join(guarded(gone), (F.col("file") == F.col("_file")) & (F.col("at") == F.col("_at")), "left_anti")
+    return left.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

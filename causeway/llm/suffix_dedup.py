@@ -1,22 +1,27 @@
-"""Removal of repeated byte strings by suffix arrays.
-
-Every byte covered by a WINDOW-byte string that also starts elsewhere in the corpus is removed. Windows are dealt
-to shards by content: a window belongs to the GRAM-byte string in it with the smallest hash, so equal windows
-meet whatever document they are in, and neighbouring windows travel together as one piece of text.
-
-1. Per document, numpy finds the pieces (start, number of windows) with their gram hash and a digest.
-2. Pieces are counted by gram and digest, with map-side partial aggregation. A piece that occurs twice is
-   repeated as a whole. Groups of copies of any size are one row from here on.
-3. Where a gram has several different pieces, one of each is laid into a shard of bounded size. A shard gets a
-   suffix array by Larsson-Sadakane refinement in numpy (only groups not yet sorted are refined, up to WINDOW
-   bytes), common prefixes in Kasai's order of text positions, and thereby the windows that occur twice in it.
-4. A gram whose pieces exceed a shard is split over several. Each sends the digests of its different windows,
-   ordered; ranges of digests are merged by binary search, which finds windows that repeat across shards.
-5. The windows' ranges are united per text, and the bytes removed.
-
-Digests of pieces and windows have 128 bits. Defined cases. Null or empty text: 0 bytes, nothing removed, the
-digest of no bytes. Shorter than WINDOW: kept whole. Repeated rows: each is a document, so both lose the text
-they share. A null doc_id is kept as it is. Other columns are ignored.
+"""Removal of repeated strings by suffix arrays.
+
+Every byte covered by a WINDOW-byte string that also starts elsewhere in the corpus is removed. Beside it, passages
+of over 50 words that occur elsewhere are found in the same way, with a text taken as a string of its words: so
+passages are seen whose words are too short to fill WINDOW bytes. What follows is said of bytes (symbols are bytes)
+and holds for words (symbols are hashes of words) alike; `UNITS` has the figures of both.
+
+1. Per text, numpy cuts its windows into pieces: a window belongs to the gram in it with the smallest hash, and
+   neighbouring windows of one gram are one piece. Equal windows have equal grams, whatever text they are in.
+2. Grams that occur once in the corpus are left aside. Of the pieces of the others, equal ones are one row with a
+   number of occurrences, so groups of copies of any size cost one row from here on.
+3. Pieces are laid into shards of bounded size. Each shard gets a suffix array by Larsson-Sadakane refinement in
+   numpy (only groups not yet sorted are refined, up to a window) and common prefixes in Kasai's order of text
+   positions; they give the classes of equal windows, and so those that occur twice, with occurrences counted.
+4. A gram whose pieces hold over SPLIT bytes is dealt over several shards. Each sends its different windows of such
+   grams, in order; the shards' ordered arrays are merged pairwise by searching one's windows in the other's, which
+   finds windows that repeat across shards. Windows go to merging tasks by ranges of bounded size.
+5. The windows' ranges return to every occurrence of their pieces, are united per text, and the bytes removed.
+
+Texts are read twice: once for step 1, and once more for those with a repeated gram, which alone are shuffled.
+Grams have hashes of 64 bits; texts, pieces and windows across shards of 128. Defined cases. Null or empty text: 0
+bytes, nothing removed, the digest of no bytes. Shorter than a window: kept whole. Repeated rows: each is a document,
+so both lose the text they share. A null doc_id is kept as it is. Other columns, whatever their names, are ignored.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,6 +29,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -33,22 +39,41 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _words as words
-from ._shared import as_bytes, map_arrow, materialize, release, slices
+from ._shared import as_bytes, discard, map_arrow, materialize, release, settle, slices
 
 WINDOW, GRAM = 400, 160
-#: Most windows in a piece; bytes in a shard; window digests in a range.
-PIECE, SHARD, RANGE = 2048, 2_000_000, 500_000
+#: Bytes in a shard; bytes of a gram's pieces in one shard; window digests in a range.
+SHARD, SPLIT, RANGE = 2_000_000, 16_000, 500_000
+#: Keys of texts (8 bytes each) up to which they are sent to all tasks, to find these texts without a shuffle.
+KEYS = 400_000
 _U = np.uint64
 
 
-def pieces(raw: np.ndarray, at: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Document, start in it, number of windows, occurrences of its gram, gram hash and digest of each piece."""
-    n, wide = len(raw), window - gram + 1
+class Unit(NamedTuple):
+    """What a symbol is: windows and grams are counted in symbols, and a piece has at most `most` windows."""
+
+    window: int
+    gram: int
+    most: int
+    wide: int  # bytes of a symbol where pieces are laid
+
+
+UNITS = (Unit(WINDOW, GRAM, 2048, 1), Unit(51, 14, 256, 8))
+
+
+def values(symbols: np.ndarray) -> np.ndarray:
+    """64 bits for each symbol, from which hashes of strings are summed."""
+    return words.SPREAD[symbols] if symbols.dtype == np.uint8 else words.mix(symbols.astype(_U))
+
+
+def pieces(symbols: np.ndarray, at: np.ndarray, unit: Unit) -> tuple[np.ndarray, ...]:
+    """Text, start in it, number of windows, occurrences of its gram, gram hash and digest of each piece."""
+    window, gram = unit.window, unit.gram
+    n, wide = len(symbols), window - gram + 1
     last = n - window + 1
     if last <= 0:
-        z = np.zeros(0, np.int64)
-        return z, z, z, z, z, z
-    sums = words.prefix(raw)
+        return (np.zeros(0, np.int64),) * 6
+    sums = words.sums(values(symbols))
     low = hashes = words.mix((sums[gram:] - sums[:-gram]) * words.powers(words.INVERSE, n + 1)[: n - gram + 1])
     span = 1
     while span * 2 <= wide:
@@ -62,10 +87,10 @@ def pieces(raw: np.ndarray, at: np.ndarray, window: int = WINDOW, gram: int = GR
     first = np.flatnonzero(new)
     size = np.diff(np.append(first, last))
     size, first = size[valid[first]], first[valid[first]]
-    if (size > PIECE).any():  # text that repeats itself
-        parts = -(-size // PIECE)
+    if (size > unit.most).any():  # text that repeats itself
+        parts = -(-size // unit.most)
         step = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-        first, size = np.repeat(first, parts) + step * PIECE, np.minimum(np.repeat(size, parts) - step * PIECE, PIECE)
+        first, size = np.repeat(first, parts) + step * unit.most, np.minimum(np.repeat(size, parts) - step * unit.most, unit.most)
     # Text that repeats itself within a window has its gram several times in one piece.
     least, code = np.unique(low[first], return_inverse=True)
     near = np.flatnonzero(hashes <= (least[-1] if len(least) else 0))
@@ -73,25 +98,33 @@ def pieces(raw: np.ndarray, at: np.ndarray, window: int = WINDOW, gram: int = GR
     near, slot = (x[least[slot] == hashes[near]] for x in (near, slot)) if len(least) else (near, slot)
     places = np.sort(slot * n + near)
     times = np.searchsorted(places, code * n + first + size + wide - 1) - np.searchsorted(places, code * n + first)
-    view, digest = memoryview(raw.tobytes()), xxhash.xxh3_64_intdigest
-    told = np.fromiter((digest(view[a:b]) for a, b in zip(first.tolist(), (first + size + window - 1).tolist())), _U, len(first))
+    view, digest, k = memoryview(symbols.tobytes()), xxhash.xxh3_64_intdigest, symbols.itemsize
+    told = np.fromiter((digest(view[a:b]) for a, b in zip((first * k).tolist(), ((first + size + window - 1) * k).tolist())), _U, len(first))
     return doc[first], first - at[:-1][doc[first]], size, times, low[first].view(np.int64), told.view(np.int64)
 
 
+def word_symbols(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word, and where each text's words start."""
+    start, end, _ = words.find(raw, at)
+    return words.ranges(words.prefix(raw), start, end), np.searchsorted(start, at)
+
+
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
-    """Positions of text in the order of their next `depth` bytes (or more), zeros beyond the end."""
+    """Positions of text (whole numbers from 0) in the order of their next `depth` symbols (or more), which end before all else."""
     n = len(text)
-    pad = np.concatenate([text, np.zeros(8, np.uint8)])
+    bits = int(text.max(initial=0) + 1).bit_length()
+    many = 64 // bits
+    pad = np.concatenate([text.astype(_U) + _U(1), np.zeros(many, _U)])
     key = np.zeros(n, _U)
-    for k in range(8):
-        key = (key << _U(8)) | pad[k : k + n]
-    order = np.argsort(key, kind="stable")
+    for k in range(many):
+        key = (key << _U(bits)) | pad[k : k + n]
+    order = np.argsort(key)
     head = np.ones(n, bool)
     head[1:] = key[order[1:]] != key[order[:-1]]
     rank = np.empty(n, np.int64)
     # a group's rank is the place of its first member, so refining a group leaves other ranks alone
     rank[order] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
-    h = 8
+    h = many
     while h < depth:
         lone = head.copy()
         lone[:-1] &= head[1:]
@@ -99,13 +132,14 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
         if not len(open_):
             break
         at = order[open_]
-        group, ahead = rank[at], at + h
-        then = np.where(ahead < n, rank[np.minimum(ahead, n - 1)], -1)
-        move = np.lexsort((then, group))
-        at, group, then = at[move], group[move], then[move]
+        ahead = at + h
+        # group and the group that follows in one number
+        then = rank[at] * (n + 1) + np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
+        move = np.argsort(then)
+        at, then = at[move], then[move]
         order[open_] = at
         fresh = np.ones(len(at), bool)
-        fresh[1:] = (group[1:] != group[:-1]) | (then[1:] != then[:-1])
+        fresh[1:] = then[1:] != then[:-1]
         head[open_] = fresh
         rank[at] = open_[np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))]
         h *= 2
@@ -118,7 +152,7 @@ def common_prefixes(text: np.ndarray, before: np.ndarray, position: np.ndarray,
     Kasai: the prefix at the next position is at most one shorter. So each `every`-th position is compared from
     the start, and those between them from what that leaves.
     """
-    pad = np.concatenate([text, np.zeros(most + 8, np.uint8)])
+    pad = np.concatenate([text, np.zeros(most + 8, text.dtype)])
 
     def extend(i: np.ndarray, have: np.ndarray) -> np.ndarray:
         have, going = have.copy(), np.arange(len(i))
@@ -141,18 +175,16 @@ def common_prefixes(text: np.ndarray, before: np.ndarray, position: np.ndarray,
         base = rest - rest % every
         bound = np.maximum(out[base] - (position[rest] - position[base]), 0)
         # The bound holds for whole suffixes; ours are cut at `most` and leave out the ends of parts, so it is checked.
-        sums, p, q = words.prefix(pad), position[rest], before[rest]
+        sums, p, q = words.sums(values(pad)), position[rest], before[rest]
         holds = words.ranges(sums, p, p + bound) == words.ranges(sums, q, q + bound)
         out[rest] = extend(rest, np.where(holds, bound, 0))
     return out
 
 
-def repeated(parts: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the parts laid end to end: valid window starts in suffix order, class of equal windows, part of each."""
-    text = np.frombuffer(b"".join(parts), np.uint8)
-    size = np.array([len(p) for p in parts])
+def repeated(text: np.ndarray, size: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of parts of these sizes laid end to end in text: valid window starts in suffix order, class of equal windows, part of each."""
     end = np.cumsum(size)
-    part = np.repeat(np.arange(len(parts)), size)
+    part = np.repeat(np.arange(len(size)), size)
     order = suffix_order(text, window)
     order = order[end[part[order]] - order >= window]
     if not len(order):
@@ -168,179 +200,265 @@ def repeated(parts: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, np.n
     return order, np.cumsum(new) - 1, part[order]
 
 
-def _runs(flag: np.ndarray) -> list[tuple[int, int]]:
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], flag.astype(np.int8), [0]])))
-    return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
+def runs(flag: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of runs of true flags, none over two parts."""
+    edge = np.flatnonzero(flag)
+    if not len(edge):
+        return edge, edge
+    new = np.ones(len(edge), bool)
+    new[1:] = (np.diff(edge) > 1) | (part[edge[1:]] != part[edge[:-1]])
+    first = np.flatnonzero(new)
+    return edge[first], edge[np.append(first[1:], len(edge)) - 1] + 1
+
+
+def repeats_in_shard(group: pa.Table, units: tuple[Unit, ...]) -> pa.Table:
+    """Ranges of a shard's windows that repeat in it, by piece (w1 null); of split grams also each class of equal windows once."""
+    settle()
+    group = group.combine_chunks()
+    unit = units[group["unit"][0].as_py()]
+    count, split = group["c"].to_numpy(), group["split"].to_numpy(zero_copy_only=False)
+    cells = group["piece"].to_pylist()
+    raw = np.frombuffer(b"".join(cells), np.uint8 if unit.wide == 1 else _U)
+    size = np.fromiter(map(len, cells), np.int64, len(cells)) // unit.wide
+    text = raw if unit.wide == 1 else np.unique(raw, return_inverse=True)[1]
+    order, kind, part = repeated(text, size, unit.window)
+    start = np.cumsum(size) - size
+    weight = np.bincount(kind, count[part]) if len(kind) else np.zeros(1)
+    flag = np.zeros(len(text), bool)
+    flag[order] = weight[kind] > 1 if len(kind) else False
+    a, b = runs(flag, np.repeat(np.arange(len(size)), size))
+    own = np.searchsorted(start, a, "right") - 1
+    out = [_found(group, own, a - start[own], b - start[own], None, None, np.ones(len(a), bool))]
+    one = np.flatnonzero(np.concatenate([[True], kind[1:] != kind[:-1]])) if len(kind) else kind
+    one = one[split[part[one]]]
+    if len(one):
+        p, i = order[one], part[one]
+        told = [words.ranges(words.sums(v), p, p + unit.window).view(np.int64) for v in (values(raw), words.mix(values(raw) + _U(words.BASE)))]
+        out.append(_found(group, i, p - start[i], p - start[i] + 1, *told, weight[kind[one]] == 1))
+    return pa.concat_tables(out)
+
+
+_FOUND = "unit int, shard long, gram long, digest long, a long, b long, w1 long, w2 long, own boolean"
+
+
+def _found(group: pa.Table, i: np.ndarray, a: np.ndarray, b: np.ndarray, w1: np.ndarray | None, w2: np.ndarray | None, own: np.ndarray) -> pa.Table:
+    none = pa.nulls(len(i), pa.int64())
+    cols = [group[c].take(pa.array(i)) for c in ("unit", "shard", "gram", "digest")]
+    cols += [pa.array(a, pa.int64()), pa.array(b, pa.int64()), *(none if w is None else pa.array(w, pa.int64()) for w in (w1, w2)), pa.array(own)]
+    return pa.table(cols, names=[c.split()[0] for c in _FOUND.split(", ")])
+
+
+def merged(arrays: list[np.ndarray]) -> np.ndarray:
+    """What is in several of these ordered arrays (each without repeats), by searching one in another, pair by pair."""
+    state = [(x, np.zeros(len(x), bool)) for x in arrays]
+    while len(state) > 1:
+        after = []
+        for k in range(0, len(state) - 1, 2):
+            (a, hit), (b, hit_b) = sorted(state[k : k + 2], key=lambda s: -len(s[0]))
+            at = np.searchsorted(a, b)
+            same = at < len(a)
+            same[same] = a[at[same]] == b[same]
+            hit = hit.copy()
+            hit[at[same]] = True
+            after.append((np.insert(a, at[~same], b[~same]), np.insert(hit, at[~same], hit_b[~same])))
+        state = [*after, *state[len(state) // 2 * 2 :]]
+    return state[0][0][state[0][1]] if state else np.zeros(0, np.int64)
+
+
+def repeats_across(group: pa.Table) -> pa.Table:
+    """Single windows of a range of digests that another shard has too."""
+    settle()
+    group = group.combine_chunks()
+    (u1, k1), (u2, k2) = (np.unique(group[c].to_numpy(), return_inverse=True) for c in ("w1", "w2"))
+    key, shard = k1 * len(u2) + k2, group["shard"].to_numpy()  # a number for each digest, exact
+    order = np.lexsort((key, shard))
+    edge = np.flatnonzero(np.diff(shard[order])) + 1
+    many = merged(np.split(key[order], edge))
+    at = np.minimum(np.searchsorted(many, key), max(0, len(many) - 1))
+    again = many[at] == key if len(many) else np.zeros(len(key), bool)
+    keep = np.flatnonzero(again & group["own"].to_numpy(zero_copy_only=False))
+    return group.select(["unit", "gram", "digest", "a", "b"]).take(pa.array(keep))
+
+
+_PIECE = ["t1", "t2", "unit", "s", "n", "times", "gram", "digest"]
 
 
-_PIECE = "t1 long, t2 long, s long, n long, times long, gram long, digest long"
+def _symbols(raw: np.ndarray, at: np.ndarray, unit: Unit) -> tuple[np.ndarray, np.ndarray]:
+    return (raw, at) if unit.wide == 1 else word_symbols(raw, at)
 
 
-def _find(texts: DataFrame, window: int, gram: int) -> DataFrame:
+def _find(texts: DataFrame, units: tuple[Unit, ...]) -> DataFrame:
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                doc, *rest = pieces(*as_bytes(part.column("text")), window, gram)
-                own = [part.column(c).to_numpy()[doc] for c in ("t1", "t2")]
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (*own, *rest)], ["t1", "t2", "s", "n", "times", "gram", "digest"])
+                raw, at = as_bytes(part.column("text"))
+                for k, unit in enumerate(units):
+                    doc, s, n, times, gram, digest = pieces(*_symbols(raw, at, unit), unit)
+                    own = [part.column(c).to_numpy()[doc] for c in ("t1", "t2")]
+                    # grams of units are apart, so that nothing else has to keep them so
+                    yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in own], pa.array(np.full(len(doc), k), pa.int32()), *[pa.array(x, pa.int64()) for x in (s, n, times, gram ^ k, digest)]], _PIECE)
 
-    return map_arrow(texts.select("t1", "t2", "text"), apply, _PIECE)
+    return map_arrow(texts.select("t1", "t2", "text"), apply, "t1 long, t2 long, unit int, s long, n long, times long, gram long, digest long")
 
 
-def _cut(wanted: DataFrame, window: int) -> DataFrame:
-    """The text of each wanted piece (rows: a text and the array `want` of its pieces)."""
+_LAID = "unit int, gram long, digest long, c long, bytes long, piece binary"
+
+
+def _lay(wanted: DataFrame, units: tuple[Unit, ...]) -> DataFrame:
+    """The symbols of each wanted piece (rows: a text and the array `want` of its pieces)."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 raw, at = as_bytes(part.column("text"))
-                raw, out = raw.tobytes(), []
-                for i, want in enumerate(part.column("want").to_pylist()):
-                    t1, t2 = part.column("t1")[i].as_py(), part.column("t2")[i].as_py()
-                    for w in want:
-                        a = int(at[i]) + w["s"]
-                        out.append((t1, t2, w["s"], w["gram"], w["digest"], w["c"], w["bytes"], raw[a : a + w["n"] + window - 1]))
-                for a in range(0, len(out), 4096):
-                    cols = list(zip(*out[a : a + 4096]))
-                    yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:7]], pa.array(cols[7], pa.binary())], ["t1", "t2", "s", "gram", "digest", "c", "bytes", "piece"])
+                lists = part.column("want")
+                flat = lists.flatten()
+                col = {c: flat.field(c).to_numpy() for c in ("unit", "s", "n", "gram", "digest", "c", "bytes")}
+                doc = np.repeat(np.arange(len(part)), lists.value_lengths().to_numpy())
+                for k, unit in enumerate(units):
+                    pick = np.flatnonzero(col["unit"] == k)
+                    if not len(pick):
+                        continue
+                    symbols, edge = _symbols(raw, at, unit)
+                    first = (edge[doc[pick]] + col["s"][pick]) * unit.wide
+                    last = first + (col["n"][pick] + unit.window - 1) * unit.wide
+                    view = symbols.tobytes()
+                    for a in range(0, len(pick), 4096):
+                        own = pick[a : a + 4096]
+                        cells = [view[x:y] for x, y in zip(first[a : a + 4096].tolist(), last[a : a + 4096].tolist())]
+                        yield pa.RecordBatch.from_arrays([pa.array(col["unit"][own], pa.int32()), *[pa.array(col[c][own], pa.int64()) for c in ("gram", "digest", "c", "bytes")], pa.array(cells, pa.binary())], [c.split()[0] for c in _LAID.split(", ")])
+
+    return map_arrow(wanted.select("text", "want"), apply, _LAID)
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(17), text, F.octet_length(text)).alias("t2"))
+
+
+def _of(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """t1, t2 and text of the texts with these keys, one row each. Keys are sent to all tasks if they are counted to be few, so that other texts stay where they are."""
+    if keys.limit(KEYS + 1).count() <= KEYS:
+        texts = texts.join(F.broadcast(keys.select("t1").distinct()), "t1", "left_semi")
+    else:
+        texts = texts.join(keys, ["t1", "t2"], "left_semi")
+    return texts.groupBy("t1", "t2").agg(F.first("text").alias("text"))
+
+
+class Repeats(NamedTuple):
+    """texts: t1, t2 and text of those with a repeated gram. ranges: t1, t2 and, by unit, ranges of starts of repeated windows. across: windows that merging has found."""
 
-    return map_arrow(wanted.select("t1", "t2", "text", "want"), apply, "t1 long, t2 long, s long, gram long, digest long, c long, bytes long, piece binary")
+    texts: DataFrame
+    ranges: DataFrame
+    across: DataFrame
 
 
-def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
-    """t1, t2 (the key of a text), and the ranges of its repeated windows' starts: s, e."""
+def repeats(docs: DataFrame, units: tuple[Unit, ...] = UNITS, shard: int = SHARD, split: int = SPLIT) -> Repeats:
     spark = docs.sparkSession
-    texts = _keyed(docs).filter(F.octet_length("text") >= window)
-    found = materialize(_find(texts, window, gram), "pieces")
+    texts = _keyed(docs)
+    found = materialize(_find(texts, units), "pieces")
     release(spark)
-    counted = found.groupBy("gram", "digest").agg(F.sum("times").alias("c"), F.max("n").alias("n"))
-    grams = counted.groupBy("gram").agg(F.count("*").alias("kinds"), F.sum("c").alias("all"), F.sum(F.col("n") + window - 1).alias("bytes"))
-    wanted = materialize(grams.filter("all > 1"), "grams")
+    by_unit = lambda f: F.element_at(F.array(*[F.lit(f(u)) for u in units]), F.col("unit") + 1)
+    size = (F.col("n") + by_unit(lambda u: u.window) - 1) * by_unit(lambda u: u.wide)
+    counted = found.groupBy("unit", "gram", "digest").agg(F.sum("times").alias("c"), F.max(size).alias("size"))
+    grams = counted.groupBy("unit", "gram").agg(F.sum("c").alias("all"), F.sum("size").alias("bytes"))
+    wanted = materialize(grams.filter("all > 1").select("gram", "bytes"), "grams")
     release(spark)
-    hits = materialize(found.join(wanted.select("gram", "kinds", "bytes"), "gram"), "hits")
+    hits = materialize(found.drop("times").join(wanted, "gram"), "hits")
+    discard(found, wanted)
     release(spark)
-    counted = hits.groupBy("gram", "digest").agg(F.count("*").alias("c"), F.min(F.struct("t1", "t2", "s", "n", "times", "kinds", "bytes")).alias("x"))
-    counted = materialize(counted.select("gram", "digest", "c", "x.*"), "kinds")
-    twice = hits.join(counted.filter("c > 1").select("gram", "digest"), ["gram", "digest"], "left_semi").select("t1", "t2", "s", (F.col("s") + F.col("n")).alias("e")).distinct()
-    whole = materialize(twice, "twice")
+    kinds = hits.groupBy("unit", "gram", "digest").agg(F.count("*").alias("c"), F.min(F.struct("t1", "t2", "s", "n", "bytes")).alias("x"))
+    kinds = materialize(kinds.select("unit", "gram", "digest", "c", "x.*"), "kinds")
     release(spark)
-    various = counted.filter("kinds > 1 OR c = 1 AND times > 1")
-    want = various.groupBy("t1", "t2").agg(F.collect_list(F.struct("s", "n", "gram", "digest", "c", "bytes")).alias("want"))
-    laid = materialize(_cut(_once(texts, want), window), "laid")
+    own = materialize(_of(texts, materialize(hits.select("t1", "t2").distinct(), "keys")), "texts")
+    want = kinds.groupBy("t1", "t2").agg(F.collect_list(F.struct("unit", "s", "n", "gram", "digest", "c", "bytes")).alias("want"))
+    laid = materialize(_lay(own.join(want, ["t1", "t2"]), units), "laid")
+    discard(kinds)
     release(spark)
-    total = laid.agg(F.sum(F.length("piece"))).first()[0] or 0
+    total = laid.groupBy("unit").agg(F.sum(F.length("piece")).alias("b")).agg(F.max("b")).first()[0] or 0
     shards = max(1, math.ceil(total / shard))
-    # A gram that fills more than a shard is dealt over as many as it needs, by its pieces' digests.
-    spread = F.when(F.col("bytes") > shard, F.pmod(F.xxhash64("digest"), F.ceil(F.col("bytes") * 2 / shard))).otherwise(F.lit(-1))
-    dealt = laid.withColumn("split", F.col("bytes") > shard).withColumn("shard", F.when(F.col("split"), F.xxhash64("gram", spread)).otherwise(F.pmod(F.xxhash64("gram"), F.lit(shards)).cast("long")))
+    # A gram of over `split` bytes is dealt over as many shards as it needs, by its pieces' digests.
+    spread = F.when(F.col("split"), F.pmod(F.xxhash64("digest"), F.ceil(F.col("bytes") / split))).otherwise(F.lit(-1))
+    dealt = laid.withColumn("split", F.col("bytes") > split).withColumn("shard", F.pmod(F.xxhash64("gram", spread), F.lit(shards)).cast("long")).drop("bytes")
 
     def sort_shard(group: pa.Table) -> pa.Table:
-        return _sorted(group, window)
+        return repeats_in_shard(group, units)
 
-    ordered = materialize(dealt.groupBy("split", "shard").applyInArrow(sort_shard, "t1 long, t2 long, s long, e long, w1 long, w2 long, own boolean"), "ordered")
+    ordered = materialize(dealt.groupBy("unit", "shard").applyInArrow(sort_shard, _FOUND), "ordered")
+    discard(laid)
     release(spark)
-    inner = ordered.filter("w1 IS NULL").select("t1", "t2", "s", "e")
-    across = ordered.filter("w1 IS NOT NULL")
-    ranges = max(1, math.ceil(across.count() / RANGE))
+    inner = ordered.filter("w1 IS NULL").select("unit", "gram", "digest", "a", "b")
+    sent = ordered.filter("w1 IS NOT NULL")
+    parts = max(1, math.ceil(sent.count() / RANGE))
+    across = sent.withColumn("range", F.pmod("w1", F.lit(parts))).groupBy("range").applyInArrow(repeats_across, "unit int, gram long, digest long, a long, b long")
+    across = materialize(across, "across")
+    # Many ranges of one piece are one row before they meet its occurrences.
+    by_piece = inner.union(across).groupBy("gram", "digest").agg(F.collect_list(F.struct("a", "b")).alias("r"))
+    every = hits.join(by_piece, ["gram", "digest"]).select("t1", "t2", "unit", F.transform("r", lambda x: F.struct((x.a + F.col("s")).alias("s"), (x.b + F.col("s")).alias("e"))).alias("r"))
+    ranges = materialize(every.groupBy("t1", "t2", "unit").agg(F.flatten(F.collect_list("r")).alias("r")), "ranges")
+    release(spark)
+    return Repeats(own, ranges, across)
+
 
-    def merge(group: pa.Table) -> pa.Table:
-        return _merged(group)
+def united(ranges: list[dict], window: int) -> list[tuple[int, int]]:
+    """Maximal runs of symbols that windows starting in these ranges cover."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted((x["s"], x["e"] + window - 1) for x in ranges):
+        if out and s <= out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], e)
+        else:
+            out.append((s, e))
+    return out
 
-    outer = across.withColumn("range", F.pmod("w1", F.lit(ranges))).groupBy("range").applyInArrow(merge, "t1 long, t2 long, s long, e long")
-    return whole.union(inner).union(outer)
 
+def _cut(rows: DataFrame, keep: list[T.StructField], units: tuple[Unit, ...], with_text: bool = False) -> DataFrame:
+    """keep, and per text (with r0, r1 .., the ranges by unit) n_removed, n_spans, kept_sha256, then n_covered and n_passages of each further unit."""
+    more = [f"{c}{k}" for k in range(1, len(units)) for c in ("n_covered", "n_passages")]
+    schema = T.StructType([*keep, *[T.StructField(x, T.LongType()) for x in ("n_removed", "n_spans", *more)], T.StructField("kept_sha256", T.StringType()), *([T.StructField("kept", T.BinaryType())] if with_text else [])])
 
-def _once(texts: DataFrame, want: DataFrame) -> DataFrame:
-    """One row a text: copies of a text are told apart before the join, by partial aggregation."""
-    return texts.groupBy("t1", "t2").agg(F.first("text").alias("text")).join(want, ["t1", "t2"])
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                raw, at = as_bytes(part.column("text"))
+                raw, numbers, sha, kept = raw.tobytes(), [], [], []
+                given = [part.column(f"r{k}").to_pylist() for k in range(len(units))]
+                for i in range(len(part)):
+                    spans = [united(r[i] or [], u.window) for r, u in zip(given, units)]
+                    numbers.append([x for s in spans for x in (sum(b - a for a, b in s), len(s))])
+                    text, edge = raw[at[i] : at[i + 1]], [0, *[x for s in spans[0] for x in s], int(at[i + 1] - at[i])]
+                    left = b"".join(text[a:b] for a, b in zip(edge[::2], edge[1::2]))
+                    sha.append(hashlib.sha256(left).hexdigest())
+                    kept.append(left if with_text else b"")
+                cols = [pa.array(c, pa.int64()) for c in zip(*numbers)] if numbers else [pa.array([], pa.int64())] * (2 * len(units))
+                yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in keep], *cols, pa.array(sha, pa.string()), *([pa.array(kept, pa.binary())] if with_text else [])], schema.fieldNames())
 
+    return map_arrow(rows, apply, schema)
 
-def _sorted(group: pa.Table, window: int) -> pa.Table:
-    """The windows that repeat within a shard, as ranges; of a split gram also each different window's digest."""
-    group = group.combine_chunks()
-    col = {c: group[c].to_numpy() for c in ("t1", "t2", "s", "c")}
-    parts = group["piece"].to_pylist()
-    split = bool(group["split"][0].as_py())
-    order, kind, part = repeated(parts, window)
-    size = np.bincount(kind, minlength=1) if len(kind) else np.zeros(1, np.int64)
-    start = np.cumsum([0, *map(len, parts)])
-    flag = np.zeros(int(start[-1]), bool)
-    if len(order):
-        flag[order] = size[kind] > 1
-    rows = []
-    for i in np.flatnonzero(col["c"] == 1):  # pieces that occur twice are repeated as a whole anyway
-        rows += [(col["t1"][i], col["t2"][i], col["s"][i] + a, col["s"][i] + b, None, None, True) for a, b in _runs(flag[start[i] : start[i + 1]])]
-    if split and len(order):
-        # one window of each class; an own one if the class is a single window of a piece that occurs once
-        one = np.flatnonzero(np.concatenate([[True], kind[1:] != kind[:-1]]))
-        whole = b"".join(parts)
-        for k in one:
-            p, i = int(order[k]), int(part[k])
-            d = xxhash.xxh3_128_intdigest(whole[p : p + window])
-            at = int(col["s"][i]) + p - int(start[i])
-            rows.append((int(col["t1"][i]), int(col["t2"][i]), at, at + 1, _long(d >> 64), _long(d & (1 << 64) - 1), bool(size[kind[k]] == 1 and col["c"][i] == 1)))
-    cols = list(zip(*rows)) if rows else [[]] * 7
-    names = ["t1", "t2", "s", "e", "w1", "w2", "own"]
-    return pa.table([*[pa.array(c, pa.int64()) for c in cols[:6]], pa.array(cols[6], pa.bool_())], names=names)
-
-
-def _long(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
-def _merged(group: pa.Table) -> pa.Table:
-    """Own windows of a range of digests that another shard has too, by binary search in the merged order."""
-    group = group.combine_chunks()
-    w1, w2 = group["w1"].to_numpy(), group["w2"].to_numpy()
-    order = np.lexsort((w2, w1))
-    key = np.empty(len(order), [("a", np.int64), ("b", np.int64)])
-    key["a"], key["b"] = w1[order], w2[order]
-    new = np.ones(len(key), bool)
-    new[1:] = key[1:] != key[:-1]
-    code = np.cumsum(new)
-    many = np.searchsorted(code, code, "right") - np.searchsorted(code, code, "left") > 1
-    keep = order[many & group["own"].to_numpy(zero_copy_only=False)[order]]
-    return group.select(["t1", "t2", "s", "e"]).take(pa.array(keep))
 
+def _ranges(found: Repeats, units: tuple[Unit, ...]) -> DataFrame:
+    return found.ranges.groupBy("t1", "t2").agg(*[F.first(F.when(F.col("unit") == k, F.col("r")), ignorenulls=True).alias(f"r{k}") for k in range(len(units))])
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(17), text, F.octet_length(text)).alias("t2"))
 
+def remove(docs: DataFrame, units: tuple[Unit, ...] = UNITS, shard: int = SHARD, split: int = SPLIT) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each document; n_covered1 and n_passages1 are words and runs of them in repeated passages (the second unit)."""
+    found = repeats(docs, units, shard, split)
+    rows = found.texts.join(_ranges(found, units), ["t1", "t2"])
+    keep = [T.StructField(f"_{t}", T.LongType()) for t in ("t1", "t2")]
+    cut = _cut(rows.withColumnsRenamed({"t1": "_t1", "t2": "_t2"}), keep, units).withColumnRenamed("kept_sha256", "_sha")
+    whole = _keyed(docs).select("doc_id", "t1", "t2", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("whole"))
+    out = whole.join(cut, (F.col("t1") == F.col("_t1")) & (F.col("t2") == F.col("_t2")), "left")
+    numbers = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_removed", "n_spans")]
+    more = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in cut.columns if c.startswith(("n_covered", "n_passages"))]
+    return out.select("doc_id", "n_bytes", *numbers, F.coalesce("_sha", "whole").alias("kept_sha256"), *more)
 
-def remove(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard: int = SHARD, with_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each document; `kept` (binary) too if asked for."""
-    ranges = repeats(docs, window, gram, shard).groupBy("t1", "t2").agg(F.collect_set(F.struct("s", "e")).alias("ranges"))
-    joined = _keyed(docs).join(materialize(ranges, "ranges"), ["t1", "t2"], "left").select("doc_id", "text", "ranges")
-    release(docs.sparkSession)
-    schema = T.StructType([docs.schema["doc_id"], *[T.StructField(x, T.LongType()) for x in ("n_bytes", "n_removed", "n_spans")], T.StructField("kept_sha256", T.StringType()), *([T.StructField("kept", T.BinaryType())] if with_text else [])])
 
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                raw, at = as_bytes(part.column("text"))
-                raw, rows = raw.tobytes(), []
-                for i, r in enumerate(part.column("ranges").to_pylist()):
-                    text, kept, end, removed, spans = raw[at[i] : at[i + 1]], [], 0, 0, 0
-                    start = None
-                    for s, e in sorted((x["s"], x["e"] + window - 1) for x in r or ()):
-                        if start is None or s > end:
-                            if start is not None:
-                                removed, spans = removed + end - start, spans + 1
-                            kept.append(text[0 if start is None else end : s])
-                            start, end = s, e
-                        else:
-                            end = max(end, e)
-                    if start is not None:
-                        removed, spans = removed + end - start, spans + 1
-                    kept = b"".join([*kept, text[end:]])
-                    rows.append((len(text), removed, spans, hashlib.sha256(kept).hexdigest(), kept))
-                cols = list(zip(*rows))
-                arrays = [*[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3], pa.string()), *([pa.array(cols[4], pa.binary())] if with_text else [])]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *arrays], schema.fieldNames())
-
-    return map_arrow(joined, apply, schema)
+def cleaned(docs: DataFrame, units: tuple[Unit, ...] = UNITS, shard: int = SHARD, split: int = SPLIT) -> DataFrame:
+    """As remove(), with kept, the bytes that are left. All texts are shuffled for it."""
+    found = repeats(docs, units, shard, split)
+    rows = _keyed(docs).join(_ranges(found, units), ["t1", "t2"], "left").withColumn("n_bytes", F.octet_length("text").cast("long"))
+    return _cut(rows.drop("t1", "t2"), [docs.schema["doc_id"], T.StructField("n_bytes", T.LongType())], units, with_text=True)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return remove(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    out = remove(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return out.withColumnsRenamed({"n_covered1": "n_passage_words", "n_passages1": "n_passages"})

@@ -7,15 +7,21 @@ stream of 32-bit words, so a step of all lanes is a few numpy operations. Every
 the lanes' states, the place in the stream and a checksum of the ids up to the next one, so a reader can start
 at any of them, and check what it reads.
 
-A file is the rows of one task in the table of blocks: file, block, payload. The table is written by Spark's
-committed writer, so lost executors leave no half files. Layout of a payload, little-endian:
+A folder of files holds all that a reader needs: `table` (the frequency table: one row, its bits, ids, parts and
+checksum, and the type of doc_id) and `blocks`, in which a file is the rows of one task: file, block, n, payload.
+Both are written by Spark's committed writer, the table first, so lost executors leave no half files.
+Layout of a payload, little-endian:
   4s magic, u32 crc32 of the frequency table, u32 documents, u64 ids, u64 ids of the file before the block,
-  u32 lanes, u32 steps between checkpoints, u32 checkpoints, u32 words; then per document i64 doc_id, u8 null,
-  u32 ids; per checkpoint u32 words read so far, u32 crc32 of its ids as u32, u64 state of each lane; the words.
+  u32 lanes, u32 steps between checkpoints, u32 checkpoints, u32 words; per document u8 what its doc_id is (0 null,
+  1 number, 2 text), u32 ids, and i64 the number or the text's bytes; the bytes of such texts, end to end;
+  per checkpoint u32 words read so far, u32 crc32 of its ids as u32, u64 state of each lane; the words.
+
+`read_files` gives every document from a folder alone; `read_ids` a range of ids of the whole corpus, for which it
+reads the blocks that hold it, and in them starts at the last checkpoint before it.
 
 Defined cases. Null or empty text: the end id alone. Null doc_id: before all others. Equal doc_ids: by content;
-rows alike follow each other. An empty table gives an empty result. Very long texts: one block each. Other
-columns are ignored.
+rows alike follow each other. doc_id: whole numbers, or text of any length. An empty table gives an empty result.
+Very long texts: one block each. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._pieces import PieceTable, gather
-from ._shared import guarded, map_arrow, materialize, new_table_path, release, slices
+from ._shared import discard, guarded, map_arrow, materialize, new_table_path, release, slices
 
 END_ID = 2
 LANES, CHECKPOINT, BLOCK = 1024, 256, 400_000
@@ -43,8 +49,9 @@ LANES, CHECKPOINT, BLOCK = 1024, 256, 400_000
 FILE, PRECISION, KEPT = 16_000_000, 20, 500_000
 #: Pieces that a call of the library takes as one text.
 TOGETHER = 256
-MAGIC = b"CWT1"
+MAGIC = b"CWT2"
 _HEAD = struct.Struct("<4sIIQQIIII")
+_DOC = np.dtype([("what", "u1"), ("n", "<u4"), ("id", "<i8")])
 _LOW = np.uint64(1 << 31)
 
 
@@ -66,10 +73,23 @@ class Frequencies:
             rest += int(cut.sum())
         if len(part):
             part[by_size[0]] += rest
+        self._set(part)
+
+    def _set(self, part: np.ndarray) -> None:
         self.part = part.astype(np.uint64)
         self.below = np.concatenate([[0], np.cumsum(part)[:-1]]).astype(np.uint64) if len(part) else self.part
         self.crc = zlib.crc32(np.concatenate([self.ids, part]).astype("<i8").tobytes())
 
+    @classmethod
+    def stored(cls, ids: np.ndarray, part: np.ndarray, bits: int, crc: int) -> "Frequencies":
+        """The table as it was written; damage raises ValueError."""
+        out = cls.__new__(cls)
+        out.ids, out.bits = ids.astype(np.int64), bits
+        out._set(part.astype(np.int64))
+        if out.crc != crc or len(part) and int(part.sum()) != 1 << bits:
+            raise ValueError("the frequency table is damaged")
+        return out
+
     def prepare(self) -> None:
         """Tables that a worker needs, not sent to it."""
         if not hasattr(self, "slot"):
@@ -81,7 +101,7 @@ class Frequencies:
         return {k: v for k, v in self.__dict__.items() if k not in ("slot", "place")}
 
 
-def write_block(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray, before: int, table: Frequencies, lanes: int = LANES, every: int = CHECKPOINT) -> bytes:
+def write_block(doc_ids: list[int | str | None], lengths: np.ndarray, ids: np.ndarray, before: int, table: Frequencies, lanes: int = LANES, every: int = CHECKPOINT) -> bytes:
     table.prepare()
     n = len(ids)
     while lanes > 1 and lanes * 32 > n:
@@ -106,44 +126,74 @@ def write_block(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray,
             marks.append((words, zlib.crc32(ids[a : (t + every) * lanes].astype("<u4").tobytes()), x.copy()))
     stream = b"".join(c.tobytes() for c in reversed(chunks))
     head = _HEAD.pack(MAGIC, table.crc, len(doc_ids), n, before, lanes, every, len(marks), words)
-    docs = b"".join(struct.pack("<qBI", d or 0, d is None, k) for d, k in zip(doc_ids, lengths.tolist()))
+    names = [d.encode() if isinstance(d, str) else b"" for d in doc_ids]
+    docs = np.zeros(len(doc_ids), _DOC)
+    docs["what"] = [0 if d is None else 2 if isinstance(d, str) else 1 for d in doc_ids]
+    docs["id"] = [0 if d is None else len(x) if isinstance(d, str) else d for d, x in zip(doc_ids, names)]
+    docs["n"] = lengths
+    docs = docs.tobytes() + b"".join(names)
     checks = b"".join(struct.pack("<II", words - w, c) + s.astype("<u8").tobytes() for w, c, s in reversed(marks))
     return head + docs + checks + stream
 
 
-def read_block(data: bytes, table: Frequencies) -> tuple[list[int | None], np.ndarray, np.ndarray, int]:
-    """doc_ids, lengths, ids, and the ids of the file before the block. Damage raises ValueError."""
-    table.prepare()
-    magic, crc, n_docs, n, before, lanes, every, n_marks, n_words = _HEAD.unpack_from(data)
-    if magic != MAGIC or crc != table.crc:
-        raise ValueError("not a block of this frequency table")
-    at = _HEAD.size
-    docs = np.frombuffer(data, np.dtype([("id", "<i8"), ("null", "u1"), ("n", "<u4")]), n_docs, at)
-    at += docs.nbytes
-    marks = np.frombuffer(data, np.dtype([("word", "<u4"), ("crc", "<u4"), ("x", "<u8", (lanes,))]), n_marks, at)
-    at += marks.nbytes
-    words = np.frombuffer(data, "<u4", n_words, at).astype(np.uint64)
-    out = np.empty(n, np.int32)
-    bits, mask = np.uint64(table.bits), np.uint64((1 << table.bits) - 1)
-    for k in range(n_marks):
-        x, w = marks["x"][k].astype(np.uint64), int(marks["word"][k])
-        first, last = k * every * lanes, min(n, (k + 1) * every * lanes)
-        for a in range(first, last, lanes):
-            b = min(n, a + lanes)
-            y = x[: b - a]
-            low = y & mask
-            s = table.slot[low]
-            out[a:b] = s
-            y = table.part[s] * (y >> bits) + low - table.below[s]
-            need = np.flatnonzero(y < _LOW)
-            if len(need):
-                y[need] = (y[need] << np.uint64(32)) | words[w : w + len(need)]
-                w += len(need)
-            x[: b - a] = y
-        out[first:last] = table.ids[out[first:last]]
-        if zlib.crc32(out[first:last].astype("<u4").tobytes()) != int(marks["crc"][k]):
-            raise ValueError(f"checksum of checkpoint {k} differs")
-    return [None if z else int(d) for d, z in zip(docs["id"], docs["null"])], docs["n"].astype(np.int64), out, before
+class Block:
+    """A block's head, documents and checkpoints; ids are decoded when they are asked for. Damage raises ValueError."""
+
+    def __init__(self, data: bytes, table: Frequencies):
+        table.prepare()
+        self.table = table
+        try:
+            magic, crc, n_docs, self.n, self.before, self.lanes, self.every, n_marks, n_words = _HEAD.unpack_from(data)
+            if magic != MAGIC or crc != table.crc:
+                raise ValueError("not a block of this frequency table")
+            at = _HEAD.size
+            docs = np.frombuffer(data, _DOC, n_docs, at)
+            at += docs.nbytes
+            self.doc_ids: list[int | str | None] = []
+            for what, value in zip(docs["what"].tolist(), docs["id"].tolist()):
+                if what == 2:
+                    self.doc_ids.append(data[at : at + value].decode())
+                    at += value
+                else:
+                    self.doc_ids.append(value if what else None)
+            self.lengths = docs["n"].astype(np.int64)
+            self.marks = np.frombuffer(data, np.dtype([("word", "<u4"), ("crc", "<u4"), ("x", "<u8", (self.lanes,))]), n_marks, at)
+            self.words = np.frombuffer(data, "<u4", n_words, at + self.marks.nbytes)
+        except struct.error as e:
+            raise ValueError("a block is too short") from e
+        if self.lengths.sum() != self.n or n_marks != -(-self.n // (self.lanes * self.every)):
+            raise ValueError("a block's counts differ")
+
+    def ids(self, first: int = 0, last: int | None = None) -> np.ndarray:
+        """Ids first to last of the block, decoded from the last checkpoint before `first` on, and none after `last`."""
+        last = self.n if last is None else min(last, self.n)
+        if first >= last:
+            return np.zeros(0, np.int32)
+        table, lanes, span = self.table, self.lanes, self.lanes * self.every
+        bits, mask = np.uint64(table.bits), np.uint64((1 << table.bits) - 1)
+        start = first // span * span
+        out = np.empty(min(self.n, -(-last // span) * span) - start, np.int32)
+        for k in range(first // span, -(-last // span)):
+            x, w = self.marks["x"][k].astype(np.uint64), int(self.marks["word"][k])
+            lo, hi = k * span - start, min(self.n, (k + 1) * span) - start
+            for a in range(lo, hi, lanes):
+                b = min(hi, a + lanes)
+                y = x[: b - a]
+                low = y & mask
+                s = table.slot[low]
+                out[a:b] = s
+                y = table.part[s] * (y >> bits) + low - table.below[s]
+                need = np.flatnonzero(y < _LOW)
+                if len(need):
+                    if w + len(need) > len(self.words):
+                        raise ValueError(f"checkpoint {k} runs out of words")
+                    y[need] = (y[need] << np.uint64(32)) | self.words[w : w + len(need)]
+                    w += len(need)
+                x[: b - a] = y
+            out[lo:hi] = table.ids[out[lo:hi]]
+            if zlib.crc32(out[lo:hi].astype("<u4").tobytes()) != int(self.marks["crc"][k]):
+                raise ValueError(f"checksum of checkpoint {k} differs")
+        return out[first - start : last - start]
 
 
 class WordEncoder:
@@ -266,12 +316,15 @@ def count_ids(rows: DataFrame) -> Frequencies:
     return Frequencies(np.array([r["id"] for r in counts], np.int64), np.array([r["c"] for r in counts], np.int64))
 
 
-def write_files(docs: DataFrame, path: str | None = None, to: str | None = None, end_id: int = END_ID) -> tuple[str, Frequencies]:
-    """Write the files; where they are, and the shared table."""
+def write_files(docs: DataFrame, path: str | None = None, to: str | None = None, end_id: int = END_ID) -> str:
+    """Write the files; the folder that they are in, which is all that a reader needs."""
     spark = docs.sparkSession
-    to = to or new_table_path(spark, "token_files")
+    to = (to or new_table_path(spark, "token_files")).rstrip("/")
     rows = materialize(token_ids(docs, path, end_id), "ids", compression="zstd")
     table = count_ids(rows)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    stored = [(kind, table.bits, table.crc, table.ids.tolist(), table.part.astype(np.int64).tolist())]
+    spark.createDataFrame(stored, "kind string, bits int, crc long, ids array<long>, parts array<long>").coalesce(1).write.parquet(f"{to}/table")
     shared = spark.sparkContext.broadcast(table)  # two numbers an id of the vocabulary
     files = max(1, math.ceil((rows.agg(F.sum("n")).first()[0] or 0) / FILE))
 
@@ -305,33 +358,67 @@ def write_files(docs: DataFrame, path: str | None = None, to: str | None = None,
 
     order = ["doc_id", "tie"]
     dealt = map_arrow(rows.repartitionByRange(files, *order).sortWithinPartitions(*order), apply, "file int, block int, n long, payload binary")
-    dealt.write.option("compression", "uncompressed").parquet(to)
+    dealt.write.option("compression", "uncompressed").parquet(f"{to}/blocks")
+    discard(rows)
     release(spark)
-    return to, table
+    return to
+
+
+def read_table(spark: SparkSession, where: str) -> tuple[Frequencies, str]:
+    """The frequency table of a folder, and the type of doc_id."""
+    r = spark.read.parquet(f"{where.rstrip('/')}/table").first()  # one row, two numbers an id of the vocabulary
+    return Frequencies.stored(np.array(r["ids"], np.int64), np.array(r["parts"], np.int64), r["bits"], r["crc"]), r["kind"]
+
+
+def _blocks(spark: SparkSession, where: str) -> DataFrame:
+    return spark.read.schema("file int, block int, n long, payload binary").parquet(f"{where.rstrip('/')}/blocks")
+
+
+def _offsets(blocks: DataFrame) -> DataFrame:
+    """_file and before, the ids of the files before it: one row a file, of FILE ids or so."""
+    w = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = blocks.groupBy("file").agg(F.sum("n").alias("n"))
+    return materialize(sizes.select(F.col("file").alias("_file"), F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before")), "offsets")
 
 
-def read_files(spark: SparkSession, where: str, table: Frequencies) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of each document, from the files."""
-    blocks = spark.read.schema("file int, block int, n long, payload binary").parquet(where)
-    shared = spark.sparkContext.broadcast(table)
+def read_files(spark: SparkSession, where: str) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of each document, from the folder alone. Damage fails the job."""
+    (table, kind), blocks = read_table(spark, where), _blocks(spark, where)
+    shared, text = spark.sparkContext.broadcast(table), kind == "string"  # two numbers an id of the vocabulary
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, data in zip(batch.column("file").to_pylist(), batch.column("payload")):
-                doc_ids, n, ids, before = read_block(data.as_py(), shared.value)
-                raw, end = memoryview(ids.astype("<u4").tobytes()), np.cumsum(n)
+                block = Block(data.as_py(), shared.value)
+                n, end = block.lengths, np.cumsum(block.lengths)
+                raw = memoryview(block.ids().astype("<u4").tobytes())
                 crc = [zlib.crc32(raw[4 * (b - k) : 4 * b]) for k, b in zip(n.tolist(), end.tolist())]
-                cols = [pa.array([file] * len(n), pa.int32()), pa.array(doc_ids, pa.int64()), pa.array(before + end - n, pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64())]
+                cols = [pa.array([file] * len(n), pa.int32()), pa.array(block.doc_ids, pa.string() if text else pa.int64()), pa.array(block.before + end - n, pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64())]
                 yield pa.RecordBatch.from_arrays(cols, ["file", "doc_id", "at", "n_tokens", "ids_crc32"])
 
-    found = map_arrow(blocks.select("file", "payload"), apply, "file int, doc_id long, at long, n_tokens long, ids_crc32 long")
-    # One row a file, of FILE ids or so
-    w = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    offset = blocks.groupBy("file").agg(F.sum("n").alias("n")).select(F.col("file").alias("_file"), F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before"))
-    offset = materialize(offset, "offsets")
-    return found.join(guarded(offset), F.col("file") == F.col("_file")).select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    found = map_arrow(blocks.select("file", "payload"), apply, f"file int, doc_id {'string' if text else 'long'}, at long, n_tokens long, ids_crc32 long")
+    joined = found.join(guarded(_offsets(blocks)), F.col("file") == F.col("_file"))
+    return joined.select(F.col("doc_id").cast(kind).alias("doc_id"), (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+
+
+def read_ids(spark: SparkSession, where: str, first: int, count: int) -> DataFrame:
+    """start (an id's place in the whole corpus) and ids, an array from there on: the pieces of ids first to first + count."""
+    (table, _), blocks = read_table(spark, where), _blocks(spark, where)
+    shared = spark.sparkContext.broadcast(table)  # two numbers an id of the vocabulary
+    at = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    places = blocks.select("file", "block", "n").withColumn("at", at).join(guarded(_offsets(blocks)), F.col("file") == F.col("_file"))
+    places = places.withColumn("from", F.col("before") + F.col("at")).filter((F.col("from") < first + count) & (F.col("from") + F.col("n") > first))
+    wanted = blocks.drop("n").join(places.select("file", "block", "from"), ["file", "block"])
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, data in zip(batch.column("from").to_pylist(), batch.column("payload")):
+                lo = max(0, first - start)
+                ids = Block(data.as_py(), shared.value).ids(lo, first + count - start)
+                yield pa.RecordBatch.from_arrays([pa.array([start + lo], pa.int64()), pa.array([ids], pa.list_(pa.int32()))], ["start", "ids"])
+
+    return map_arrow(wanted.select("from", "payload"), apply, "start long, ids array<int>")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    where, table = write_files(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    return read_files(spark, where, table)
+    return read_files(spark, write_files(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))
