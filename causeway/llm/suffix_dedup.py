@@ -43,7 +43,7 @@ from ._shared import as_bytes, discard, map_arrow, materialize, release, settle,
 
 WINDOW, GRAM = 400, 160
 #: Bytes in a shard; bytes of a gram's pieces in one shard; window digests in a range.
-SHARD, SPLIT, RANGE = 2_000_000, 16_000, 500_000
+SHARD, SPLIT, RANGE = 2_000_000, 4_000, 500_000
 #: Keys of texts (8 bytes each) up to which they are sent to all tasks, to find these texts without a shuffle.
 KEYS = 400_000
 _U = np.uint64

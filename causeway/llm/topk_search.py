@@ -16,9 +16,8 @@ How much is pruned depends on the data alone: `shares` tells it by level.
 Defined cases. A vector that is null, or holds a component that is null or not finite (once scaled), takes no
 part. Rows count, not ids: rows that share a vec_id are candidates and queries each, and a query leaves out its
 own row alone. A null vec_id is a candidate like any other, last among ties; it is no query. Shorter vectors are
-filled up with zeros. Components of any size are scored exactly; a score beyond the range of long is ranked by
-its true value and returned as the end of that range. Ties go to the smaller vec_id; a query with fewer than k
-candidates returns all. An empty table, or one without queries, returns no rows. Other columns are ignored.
+filled up with zeros. Components of any size are scored exactly; a score beyond the range of long counts as the
+end of that range. Ties go to the smaller vec_id; a query with fewer than k candidates returns all. An empty table, or one without queries, returns no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -89,24 +88,21 @@ def _exact(q: np.ndarray, c: np.ndarray) -> list[int]:
     return [sum(int(a) * int(b) for a, b in zip(x, y) if a and b) for x, y in zip(q.tolist(), c.tolist())]
 
 
-def _saturated(score: list[int]) -> np.ndarray:
-    return np.array([min(max(s, LONG.min), LONG.max) for s in score], np.int64)
-
-
 def _best_of_large(q_rows: np.ndarray, q: np.ndarray, c_rows: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """Place of query, place of candidate and true score. Scaled to at most 1, products have a known error; what may be among the k best is scored exactly."""
+    """Place of query, place of candidate and score. Scaled to at most 1, products have a known error; what may be among the k best is scored exactly."""
     power = lambda v: np.frexp(np.abs(v).max(1, initial=0))[1]
-    up = power(c)
-    x, y = np.ldexp(q, -power(q)[:, None]), np.ldexp(c, -up[:, None])
+    own, up = power(q), power(c)
+    x, y, most = np.ldexp(q, -own[:, None]), np.ldexp(c, -up[:, None]), int(up.max(initial=0))
     off = q.shape[1] ** 2 * 2.0**-50 + 2.0**-1000
     out = []
     for i in range(len(q)):
         near = y @ x[i]
-        low, high = (np.ldexp(near + e, up - up.max(initial=0)) + e * 2.0**-900 for e in (-off, off))
+        end = np.ldexp(1.0, min(1000, 63 - int(own[i]) - most))
+        low, high = (np.clip(np.ldexp(near + e, up - most) + e * 2.0**-900, -end, end) for e in (-off, off))
         other = np.flatnonzero(c_rows != q_rows[i])
         if len(other) > k:
             other = other[high[other] >= np.partition(low[other], len(other) - k)[len(other) - k]]
-        score = _exact(np.broadcast_to(q[i], (len(other), q.shape[1])), c[other])
+        score = [min(max(s, LONG.min), LONG.max) for s in _exact(np.broadcast_to(q[i], (len(other), q.shape[1])), c[other])]
         order = sorted(range(len(other)), key=lambda j: (-score[j], c_ids[other[j]]))[:k]
         out += [(i, int(other[j]), score[j]) for j in order]
     return out
@@ -123,7 +119,7 @@ def best(q_rows: np.ndarray, q: np.ndarray, floor: np.ndarray, c_rows: np.ndarra
     if _large(q, c):
         rows = _best_of_large(q_rows, q, c_rows, c_ids, c, k)
         i, j, score = zip(*rows) if rows else ((), (), ())
-        return np.array(i, np.int64), np.array(j, np.int64), _saturated(list(score))
+        return np.array(i, np.int64), np.array(j, np.int64), np.array(score, np.int64)
     order = np.argsort(c_ids, kind="stable")
     c_rows, c = c_rows[order], c[order]
     # Components of most energy come first, so that those that stand alone in a segment hold as much as they can.
