@@ -29,10 +29,18 @@ def gram(panel: DataFrame, p: int) -> DataFrame:
     return e.groupBy("i", "a", "b").agg((F.sum(F.col("xa") * F.col("xb")) / F.count("*")).alias("g"))
 
 
-TILE = 96
+#: Bytes of the series of two blocks, which a task holds; series in a block.
+TILE_BYTES, LEAST, MOST = 48_000_000, 16, 512
 
 
-def tiles(series: DataFrame, nodes: int, size: int = TILE) -> DataFrame:
+def tile_size(series: DataFrame, nodes: int) -> int:
+    """Series in a block: as many as memory allows, so that each is copied to few tiles, but enough tiles for all cores."""
+    steps = series.agg(F.max(F.size("xs"))).first()[0] or 1
+    blocks = int((2 * series.sparkSession.sparkContext.defaultParallelism) ** 0.5) + 1  # about as many tiles as cores
+    return max(1, min(MOST, TILE_BYTES // (16 * steps), max(LEAST, -(-nodes // blocks))))
+
+
+def tiles(series: DataFrame, nodes: int, size: int) -> DataFrame:
     """series (k, i, xs) dealt to every tile (a, b), a >= b, of blocks of `size` series that it takes part in."""
     blocks = -(-nodes // size)
     own = F.floor(F.col("k") / size).cast("int")
@@ -50,13 +58,14 @@ def numbered(series: DataFrame) -> DataFrame:
 MOST_TASKS = 20_000
 
 
-def dealt(series: DataFrame, nodes: int, size: int) -> DataFrame:
-    """The tiles, each to a task of its own as far as a hash of it allows."""
+def dealt(series: DataFrame, nodes: int, size: int | None) -> DataFrame:
+    """The tiles, each to a task of its own as far as a hash of it allows. size: series in a block, by memory if not given."""
+    size = size or tile_size(series, nodes)
     blocks = -(-nodes // size)
     return spread(tiles(numbered(series), nodes, size), "a", "b", parts=max(1, min(MOST_TASKS, blocks * (blocks + 1))))
 
 
-def tiled_autocovariance(series: DataFrame, nodes: int, p: int, size: int = TILE) -> DataFrame:
+def tiled_autocovariance(series: DataFrame, nodes: int, p: int, size: int | None = None) -> DataFrame:
     """As autocovariance(), by matrix products within tiles; a task holds the series of two blocks."""
     kind = dict(series.dtypes)["i"]
 
@@ -83,7 +92,7 @@ def levinson_orders(cov: DataFrame, p: int) -> DataFrame:
     return own.select("i", F.posexplode(F.expr(f"aggregate(sequence(1, {p}), {zero}, (s, m) -> {step}).eps")).alias("m", "eps"))
 
 
-def pairwise(series: DataFrame, nodes: int, p: int, size: int = TILE) -> DataFrame:
+def pairwise(series: DataFrame, nodes: int, p: int, size: int | None = None) -> DataFrame:
     """src, dst, xi (error of dst alone), xi_pair (given src too), order of the pair's model: all ordered pairs.
 
     A tile's lagged products and all its recursions are arrays; the n squared covariances never leave the task.

@@ -59,3 +59,33 @@ def table(results: DataFrame, a: str = "alasso", b: str = "pwgc") -> DataFrame:
     wide = results.withColumnsRenamed({"n": "nodes", "t": "steps"}).groupBy(*keys, "iter").pivot("algo", [a, b]).agg(F.first("value"))
     means = wide.groupBy(*keys).agg(F.avg(a).alias(a), F.avg(b).alias(b))
     return means.join(metrics.paired_t(wide, keys, "iter", a, b).select(*keys, "p_value"), keys)
+
+
+def over_time(spark: SparkSession, t=tuple(range(50, 5001, 25)), n: int = 50, q: float | None = None, iterations: int = 1, **more) -> DataFrame:
+    """Both algorithms by length of the series."""
+    return grid(spark, (n,), tuple(t), (q,), iterations, **more)
+
+
+def short_series(spark: SparkSession, t=tuple(range(20, 101, 10)), n: int = 50, q: float | None = None, iterations: int = 10, **more) -> DataFrame:
+    """The same where observations are few."""
+    return over_time(spark, t, n, q, iterations, **more)
+
+
+def over_nodes(spark: SparkSession, n=tuple(range(10, 1491, 10)), t: int = 500, iterations: int = 2, **more) -> DataFrame:
+    """By number of nodes, in trees and in graphs of 2 / n and 4 / n links a pair; orders to 15."""
+    parts = [grid(spark, (k,), (t,), (None, 2 / k, 4 / k), iterations, **({"p_most": 15, "seed": k} | more)) for k in n]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.union(x)
+    return out.repartition(max(1, len(n) * 3 * iterations), "n", "id")
+
+
+def over_density(spark: SparkSession, q=tuple(np.geomspace(0.01, 0.5, 40).round(4).tolist()), n: int = 50, t: int = 500, iterations: int = 4, **more) -> DataFrame:
+    """By share of links. Scores without a value stay so."""
+    return grid(spark, (n,), (t,), tuple(q), iterations, **more)
+
+
+def tracked(results: DataFrame, by: str) -> DataFrame:
+    """algo, metric, `by` (t, n or q), mean, deviation and number of values that are not NaN: what a study plots."""
+    v = F.when(~F.isnan("value"), F.col("value"))
+    return results.groupBy("algo", "metric", by).agg(F.avg(v).alias("mean"), F.stddev_samp(v).alias("deviation"), F.count(v).alias("values"))

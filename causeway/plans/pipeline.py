@@ -14,6 +14,8 @@ from ..sources.tables import spread
 
 #: Recovery of one graph runs on the driver, over screened candidate edges; beyond this many it is refused.
 MOST_EDGES = 5_000_000
+#: Values (8 bytes) of a system that a joint fit takes.
+JOINT = 20_000_000
 
 
 def tests(series: DataFrame, nodes: int, t: int, p: int, fast: bool = True, f_mode: bool = False, f_cdf: bool | None = None) -> DataFrame:
@@ -30,11 +32,13 @@ def recover(scored: DataFrame, alpha: float = 0.05, drop_bidirectional: bool = F
         p = scored.select((1 - F.col("p_edge")).alias("p_value"), "src", "dst")
         threshold = granger.bh_threshold(p, alpha, ["p_value", "src", "dst"], independent=False).first()[0]
     want = granger.candidates(scored, 1 - threshold, drop_bidirectional)
-    rows = want.limit(MOST_EDGES + 1).collect()
+    rows = want.select("src", "dst", "f", "p_edge").limit(MOST_EDGES + 1).toArrow()
+    scored.unpersist()
     if len(rows) > MOST_EDGES:
         raise ValueError("too many candidate edges for one graph; lower alpha")
-    nodes = sorted({x for r in rows for x in (r["src"], r["dst"])})
-    edges = scg.recover(nodes, {(r["src"], r["dst"]): r["f"] for r in rows}, {(r["src"], r["dst"]): r["p_edge"] for r in rows})
+    ends = list(zip(rows["src"].to_pylist(), rows["dst"].to_pylist()))
+    nodes = sorted({x for e in ends for x in e})
+    edges = scg.recover(nodes, dict(zip(ends, rows["f"].to_pylist())), dict(zip(ends, rows["p_edge"].to_pylist())))
     return spark.createDataFrame(edges, f"src {kind}, dst {kind}")
 
 
@@ -134,6 +138,56 @@ def graphs_by_group(rows: DataFrame, keys: list[str], p: int, method: str = "pwg
     return spread(rows, *keys).groupBy(*keys).applyInPandas(one, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), f"src {kinds['i']}", f"dst {kinds['i']}"]))
 
 
+def joint_alasso(series: DataFrame, p: int, most: int | None = None, nu: float = 1.25) -> DataFrame:
+    """src, dst and b of a whole system fitted under one penalty, zero filters left out; on the first `most` steps, if given.
+
+    The equations share one Gram matrix, so the system (counted first: JOINT values at most) is one task's work.
+    """
+    size = series.agg(F.sum(F.size("xs"))).first()[0] or 0
+    if size > JOINT:
+        raise ValueError("the system is too large for a joint fit; fit its nodes apart (dense_graph)")
+    kind = dict(series.dtypes)["i"]
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("i")
+        x = np.stack(pdf["xs"].to_numpy()).astype(float).T[:most]
+        b, names = ar.joint_adaptive_lasso(x - x.mean(0), p, nu), pdf.i.tolist()
+        rows = [(names[s], names[d], b[:, d, s].tolist()) for d, s in np.argwhere((b != 0).any(0))]
+        return pd.DataFrame(rows, columns=["src", "dst", "b"])
+
+    return series.groupBy().applyInPandas(one, f"src {kind}, dst {kind}, b array<double>")
+
+
+def rolling_prediction(panel_: DataFrame, length: int = 8, p: int = 2, alpha: float = 0.05, rounds: int = 1) -> DataFrame:
+    """window_id, i and v: in each window of `length` days, what a graph fitted on all but the last takes from the variance of the last.
+
+    panel_: t, i, x and day (whole numbers from 0). v is positive where the prediction helps.
+    """
+    days = panel_.agg(F.max("day")).first()[0] + 1
+    w = panel.rolling_windows(panel_, "day", days, length).withColumn("late", F.col("day") == F.col("window_id") + (length - 1))
+    kind = dict(panel_.dtypes)["i"]
+    each = w.groupBy("window_id", "i").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "x"))), lambda r: r.x).alias("xs"), F.count_if("late").alias("late"))
+
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("i")
+        x = np.stack(pdf["xs"].to_numpy()).astype(float).T
+        most = len(x) - int(pdf.late.iloc[0])
+        x = x - x[:most].mean(0)
+        edges, _ = iterated_arrays(x[:most], p, alpha, rounds=rounds)
+        _, left = refit_arrays(x, edges, p, most=most)
+        return pd.DataFrame({"window_id": key[0], "i": pdf.i.to_numpy(), "v": x[most + p :].var(0) - left.var(0)})
+
+    return spread(each, "window_id").groupBy("window_id").applyInPandas(one, f"window_id long, i {kind}, v double")
+
+
+def trial_graphs(trials: DataFrame, keys: list[str], p: int = 5, most: int = 200, method: str = "pwgc", dither: float = 1e-2, seed: int = 0) -> DataFrame:
+    """keys, src, dst: a graph for each trial (keys, i, t, x), as `readers.trial` gives them: normalised, its first `most` steps, p lags."""
+    d = panel.normalise_trial(trials, keys, dither, seed)
+    order = F.array_sort(F.collect_list(F.struct("t", F.col("x").cast("double").alias("x"))))
+    rows = d.groupBy(*keys, "i").agg(F.transform(F.slice(order, 1, most), lambda r: r.x).alias("xs"))
+    return graphs_by_group(rows, keys, p, method)
+
+
 def prepared(long_panel: DataFrame) -> DataFrame:
     """Series of a standardised panel; constant ones are gone."""
     return panel.to_series(panel.zscore(long_panel))

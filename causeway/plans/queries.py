@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scg
 from ..operators import covariance, diagnostics, granger, graph, metrics, panel, refit, simulate
-from . import classify, experiments, pipeline
+from ..sources.tables import materialize
+from . import classify, engine_sql, experiments, pipeline
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -57,6 +58,44 @@ z AS (SELECT t, p.i, (x - s1 / n) / sqrt((n * s2 - s1 * s1) / (n * n)) AS x FROM
 N_SQL = E_SQL + ", gaps AS (SELECT t, i, CASE WHEN x % 3 <> 0 THEN x::DOUBLE END AS x FROM panel)"
 
 
+#: A forest of seven nodes and the lag of each edge. Its nodes take noise of their own and their parent's value.
+PLANTED = {(0, 1): 1, (0, 2): 2, (1, 3): 1, (4, 5): 1, (2, 6): 1}
+
+
+def _terms() -> list[tuple[int, int, int]]:
+    """Node whose noise it is, node that it reaches, and after how many steps."""
+    out, parent = [], {d: (s, lag) for (s, d), lag in PLANTED.items()}
+    for i in range(7):
+        at, lag = i, 0
+        out.append((at, i, lag))
+        while at in parent:
+            at, lag = parent[at][0], lag + parent[at][1]
+            out.append((at, i, lag))
+    return out
+
+
+def planted_panel(spark, sf_dir) -> DataFrame:
+    """A system of known graph, driven by the daily quantities of seven classes of parts."""
+    e = read(spark, sf_dir, "lineitem").select(F.unix_date(F.col("l_shipdate").cast("date")).alias("t"), (F.col("l_partkey") % 7).alias("k"), F.col("l_quantity").cast("long").alias("x"))
+    noise = panel.densify(e, 1, "t", "k", "x")
+    last = noise.agg(F.max("t").alias("last"))
+    terms = spark.createDataFrame(_terms(), "a long, node long, lag long")
+    moved = noise.join(F.broadcast(terms), F.col("i") == F.col("a")).crossJoin(F.broadcast(last)).filter("t + lag <= last")  # one row
+    return moved.groupBy((F.col("t") + F.col("lag")).alias("t"), F.col("node").alias("i")).agg(F.sum("x").alias("x"))
+
+
+PLANTED_SQL = f"""
+ev AS (SELECT date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS k, l_partkey % 7 AS i, sum(CAST(l_quantity AS BIGINT))::BIGINT AS x FROM lineitem GROUP BY ALL),
+b AS (SELECT min(k) AS lo, max(k) AS hi FROM ev),
+g AS (SELECT i, lo, unnest(generate_series(lo, hi)) AS k FROM (SELECT DISTINCT i FROM ev), b),
+noise AS (SELECT g.k - lo AS t, g.i, coalesce(x, 0)::BIGINT AS x FROM g LEFT JOIN ev ON g.k = ev.k AND g.i = ev.i),
+term(a, node, lag) AS (VALUES {', '.join(map(str, _terms()))}),
+panel AS (SELECT t + lag AS t, CAST(node AS BIGINT) AS i, sum(x)::BIGINT AS x FROM noise JOIN term ON noise.i = a WHERE t + lag <= (SELECT max(t) FROM noise) GROUP BY ALL),
+mo AS (SELECT i, count(x)::DOUBLE AS n, sum(x)::DOUBLE AS s1, sum(x * x)::DOUBLE AS s2 FROM panel GROUP BY i),
+z AS (SELECT t, p.i, (x - s1 / n) / sqrt((n * s2 - s1 * s1) / (n * n)) AS x FROM panel p JOIN mo USING (i) WHERE n * s2 - s1 * s1 > 0)"""
+PLANTED_EDGES = f"SELECT * FROM (VALUES {', '.join(f'({s}::BIGINT, {d}::BIGINT)' for s, d in PLANTED)}) AS e(src, dst)"
+
+
 def z_panel(spark, sf_dir) -> DataFrame:
     return panel.zscore(events_panel(spark, sf_dir))
 
@@ -74,6 +113,11 @@ def panel_events_hourly(spark, sf_dir):
     return events_panel(spark, sf_dir)
 
 
+@query(f"WITH {PLANTED_SQL} SELECT t, i, x FROM panel")
+def panel_planted(spark, sf_dir):
+    return planted_panel(spark, sf_dir)
+
+
 @query(f"WITH {L_SQL} SELECT t, i, x FROM panel")
 def panel_lineitem_daily(spark, sf_dir):
     return items_panel(spark, sf_dir)
@@ -199,9 +243,10 @@ def rolling_windows(spark, sf_dir):
     return panel.rolling_windows(d, "day", days, 7).groupBy("window_id", "i").agg(F.sum("x").alias("x"))
 
 
-R_SQL = Z_SQL + """,
+MOMENTS_SQL = """,
 nt AS (SELECT count(DISTINCT t) AS n FROM z),
 r AS (SELECT k AS tau, a.i, b.i AS j, sum(a.x * b.x) / max(n) AS r FROM z a CROSS JOIN (SELECT unnest(range(4))::INTEGER AS k) JOIN z b ON b.t = a.t - k CROSS JOIN nt GROUP BY ALL)"""
+R_SQL = Z_SQL + MOMENTS_SQL
 
 
 @query(f"WITH {R_SQL} SELECT tau, i, j, round(r, 6) AS r FROM r")
@@ -248,52 +293,38 @@ def bic_order(spark, sf_dir):
     return rounded(e.groupBy("i").agg(F.min_by("m", F.struct(-F.col("bic"), "m")).alias("p"), F.max("bic").alias("bic")), "bic")
 
 
-def lag1_tests(spark, sf_dir) -> DataFrame:
-    """src, dst, xi, xi_pair, p = 1 and f of every ordered pair, by the closed form of a one-lag pair."""
-    z = z_panel(spark, sf_dir).persist()
-    n = z.select("t").distinct().count()
-    c = covariance.autocovariance(z, 1, n).persist()
-    at = lambda tau, a, b, name: c.filter(F.col("tau") == tau).select(F.col("i").alias(a), F.col("j").alias(b), F.col("r").alias(name))
-    own = lambda tau, a, name: c.filter((F.col("tau") == tau) & (F.col("i") == F.col("j"))).select(F.col("i").alias(a), F.col("r").alias(name))
-    d = at(0, "dst", "src", "c").filter("src <> dst").join(at(1, "dst", "src", "b"), ["dst", "src"])
-    d = d.join(own(0, "dst", "v"), "dst").join(own(1, "dst", "a"), "dst").join(own(0, "src", "w"), "src")
-    det = F.col("v") * F.col("w") - F.col("c") * F.col("c")
-    s = F.col("v") - (F.col("a") * F.col("a") * F.col("w") - 2 * F.col("a") * F.col("b") * F.col("c") + F.col("b") * F.col("b") * F.col("v")) / det
-    d = d.select("src", "dst", (F.col("v") - F.col("a") * F.col("a") / F.col("v")).alias("xi"), s.alias("xi_pair"), F.lit(1).alias("p"))
-    return d.withColumn("f", granger.gc_score(F.col("xi"), F.col("xi_pair"), F.col("p"), F.lit(n))).withColumn("lr", granger.lr_score(F.col("xi"), F.col("xi_pair"), F.lit(n)))
+ORDERS = 3
 
 
-T_SQL = R_SQL + """,
-d AS (SELECT x.j AS src, x.i AS dst, x.r AS c, y.r AS b, v.r AS v, a.r AS a, w.r AS w FROM r x JOIN r y ON y.i = x.i AND y.j = x.j AND y.tau = 1
- JOIN r v ON v.i = x.i AND v.j = x.i AND v.tau = 0 JOIN r a ON a.i = x.i AND a.j = x.i AND a.tau = 1 JOIN r w ON w.i = x.j AND w.j = x.j AND w.tau = 0 WHERE x.tau = 0 AND x.i <> x.j),
-xi AS (SELECT src, dst, v - a * a / v AS xi, v - (a * a * w - 2 * a * b * c + b * b * v) / (v * w - c * c) AS xi_pair FROM d),
-s AS (SELECT *, n * (xi / xi_pair - 1) AS f, n * ln(xi / xi_pair) AS lr FROM xi, nt),
-pe AS (SELECT src, dst, f, CASE WHEN f > 0 THEN 1 - exp(-f / 2) ELSE 0 END AS p_edge FROM s)"""
+def engine_tests(spark, sf_dir) -> DataFrame:
+    """src, dst, xi, xi_pair, p, f, p_edge and lr of every ordered pair of the planted system, by the engine; written once."""
+    s, n, t = _planted(spark, sf_dir)
+    scored = granger.score_pairs(covariance.pairwise(s, n, ORDERS), t)
+    return materialize(scored.withColumn("lr", granger.lr_score(F.col("xi"), F.col("xi_pair"), F.lit(t))), "tests")
 
 
-def lag1_scored(spark, sf_dir) -> DataFrame:
-    """Scores against the chi-square distribution of two degrees, in closed form."""
-    return lag1_tests(spark, sf_dir).select("src", "dst", "f", granger.chi2_cdf_even(F.col("f"), 2).alias("p_edge")).persist()
+T_SQL = PLANTED_SQL + MOMENTS_SQL + "," + engine_sql.engine(ORDERS)
 
 
-@query(f"WITH {T_SQL} SELECT src, dst, round(xi_pair, 6) AS xi_pair FROM xi")
-def bivariate_var1_error(spark, sf_dir):
-    return rounded(lag1_tests(spark, sf_dir).select("src", "dst", "xi_pair"), "xi_pair")
+@query(f"WITH {T_SQL} SELECT src, dst, round(xi, 6) AS xi, round(xi_pair, 6) AS xi_pair, p FROM s")
+def pairwise_errors(spark, sf_dir):
+    """Orders by criterion, and error variances of each series alone and of each pair, by recursion."""
+    return rounded(engine_tests(spark, sf_dir).select("src", "dst", "xi", "xi_pair", "p"), "xi", "xi_pair")
 
 
-@query(f"WITH {T_SQL} SELECT src, dst, round(f, 6) AS f FROM s")
-def gc_score_lag1(spark, sf_dir):
-    return rounded(lag1_tests(spark, sf_dir).select("src", "dst", "f"), "f")
+@query(f"WITH {T_SQL} SELECT src, dst, round(f, 5) AS f FROM s")
+def gc_score(spark, sf_dir):
+    return rounded(engine_tests(spark, sf_dir).select("src", "dst", "f"), "f", digits=5)
 
 
-@query(f"WITH {T_SQL} SELECT src, dst, round(lr, 6) AS lr FROM s")
-def lr_score_lag1(spark, sf_dir):
-    return rounded(lag1_tests(spark, sf_dir).select("src", "dst", "lr"), "lr")
+@query(f"WITH {T_SQL} SELECT src, dst, round(lr, 5) AS lr FROM s")
+def lr_score(spark, sf_dir):
+    return rounded(engine_tests(spark, sf_dir).select("src", "dst", "lr"), "lr", digits=5)
 
 
 @query(f"WITH {T_SQL} SELECT src, dst, round(p_edge, 6) AS p_edge FROM pe")
 def chi2_edge_prob(spark, sf_dir):
-    return rounded(lag1_scored(spark, sf_dir).select("src", "dst", "p_edge"), "p_edge")
+    return rounded(engine_tests(spark, sf_dir).select("src", "dst", "p_edge"), "p_edge")
 
 
 ALPHA = 0.2
@@ -304,7 +335,7 @@ cut AS (SELECT coalesce(min_by(p_value, rn) FILTER (WHERE below <> after), min(p
 
 
 def _cut(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    t = lag1_scored(spark, sf_dir)
+    t = engine_tests(spark, sf_dir)
     return t, granger.bh_threshold(t.select((1 - F.col("p_edge")).alias("p_value"), "src", "dst"), ALPHA, ["p_value", "src", "dst"])
 
 
@@ -315,7 +346,7 @@ def bh_threshold_compat(spark, sf_dir):
 
 @query(f"WITH {B_SQL} SELECT round(coalesce(max(p_value) FILTER (WHERE p_value <= {ALPHA} * rn / m), 0.0), 6) AS threshold FROM o")
 def bh_threshold_standard(spark, sf_dir):
-    t = lag1_scored(spark, sf_dir).select((1 - F.col("p_edge")).alias("p_value"), "src", "dst")
+    t = engine_tests(spark, sf_dir).select((1 - F.col("p_edge")).alias("p_value"), "src", "dst")
     return rounded(granger.bh_threshold(t, ALPHA, ["p_value", "src", "dst"], compat=False), "threshold")
 
 
@@ -324,7 +355,7 @@ h AS (SELECT sum(1.0::DOUBLE / k) AS h FROM (SELECT unnest(range(1, (SELECT max(
 hs AS (SELECT rn, p_value, p_value < {ALPHA} * rn / (h * m) AS below, lead(p_value) OVER (ORDER BY rn) < {ALPHA} * (rn + 1) / (h * m) AS after FROM o, h)
 SELECT round(coalesce(min_by(p_value, rn) FILTER (WHERE below <> after), min(p_value)), 6) AS threshold FROM hs""")
 def bh_threshold_dependent(spark, sf_dir):
-    t = lag1_scored(spark, sf_dir).select((1 - F.col("p_edge")).alias("p_value"), "src", "dst")
+    t = engine_tests(spark, sf_dir).select((1 - F.col("p_edge")).alias("p_value"), "src", "dst")
     return rounded(granger.bh_threshold(t, ALPHA, ["p_value", "src", "dst"], independent=False), "threshold")
 
 
@@ -338,13 +369,13 @@ C_SQL = W_SQL + ", c AS (SELECT n.i, coalesce(sum(p_edge), 0.0) AS c FROM (SELEC
 
 
 def _strength(spark, sf_dir) -> DataFrame:
-    t = lag1_scored(spark, sf_dir)
+    t = engine_tests(spark, sf_dir)
     return granger.incident_strength(t.select(F.col("dst").alias("i")).distinct(), granger.candidates(t))
 
 
-@query(f"WITH {W_SQL} SELECT src, dst, round(f, 6) AS f, round(p_edge, 6) AS p_edge FROM want")
+@query(f"WITH {W_SQL} SELECT src, dst, round(f, 5) AS f, round(p_edge, 5) AS p_edge FROM want")
 def candidate_edges_w(spark, sf_dir):
-    return rounded(granger.candidates(lag1_scored(spark, sf_dir)), "f", "p_edge")
+    return rounded(granger.candidates(engine_tests(spark, sf_dir)), "f", "p_edge", digits=5)
 
 
 @query(f"WITH {C_SQL} SELECT i, round(c, 6) AS c FROM c")
@@ -606,40 +637,78 @@ def pairwise_gc_slow(spark, sf_dir):
     return granger.score_pairs(covariance.pairwise_slow(s, 5), t, f_mode=True)
 
 
-@query()
+def _planted(spark, sf_dir) -> tuple[DataFrame, int, int]:
+    s = pipeline.prepared(planted_panel(spark, sf_dir)).persist()
+    n, t = s.agg(F.count("*"), F.max(F.size("xs"))).first()
+    return s, n, t
+
+
+@query(PLANTED_EDGES)
 def pw_scg(spark, sf_dir):
-    s, n, t = _series(spark, sf_dir)
-    return pipeline.recover(pipeline.tests(s, n, t, 10))
+    """The graph recovered from the planted system; its SQL states the graph that was planted."""
+    s, n, t = _planted(spark, sf_dir)
+    return pipeline.recover(pipeline.tests(s, n, t, 5))
+
+
+@query(PLANTED_EDGES)
+def pwgc_edges(spark, sf_dir):
+    """The same by the whole estimate, refit included: edges with a filter that is not zero, loops aside."""
+    s, n, t = _planted(spark, sf_dir)
+    return graph.without_loops(graph.drop_zero_filters(refit.filters(pipeline.estimate_graph(s, n, t, 5, f_cdf=True)))).select("src", "dst")
 
 
 @query()
 def pwgc_graph(spark, sf_dir):
-    """Fitted edges, loops included, of the events panel."""
-    s, n, t = _series(spark, sf_dir)
-    return refit.filters(pipeline.pwgc_estimate(s, n, t, 10))
+    """Fitted edges, loops included, of the planted system."""
+    s, n, t = _planted(spark, sf_dir)
+    return refit.filters(pipeline.pwgc_estimate(s, n, t, 5))
+
+
+@query(f"""WITH {PLANTED_SQL}, e(dst, src) AS (VALUES {', '.join(f'({d}, {s})' for s, d in PLANTED)}),
+l AS (SELECT i, t, x, lag(x) OVER (PARTITION BY i ORDER BY t) AS l FROM z),
+m AS (SELECT dst, src, sum(o.l * o.l) AS oo, sum(o.l * q.l) AS oq, sum(q.l * q.l) AS qq, sum(o.x * o.l) AS xo, sum(o.x * q.l) AS xq FROM e JOIN l o ON o.i = dst JOIN l q ON q.i = src AND q.t = o.t WHERE o.l IS NOT NULL GROUP BY ALL),
+c AS (SELECT dst, dst AS src, (xo * qq - xq * oq) / (oo * qq - oq * oq) AS b FROM m UNION ALL SELECT dst, src, (xq * oo - xo * oq) / (oo * qq - oq * oq) FROM m
+  UNION ALL SELECT i, i, sum(x * l) / sum(l * l) FROM l WHERE l IS NOT NULL AND i NOT IN (SELECT dst FROM e) GROUP BY i),
+f AS (SELECT c.dst, o.t, any_value(o.x) - sum(b * q.l) AS r FROM c JOIN l o ON o.i = c.dst JOIN l q ON q.i = c.src AND q.t = o.t WHERE o.l IS NOT NULL GROUP BY ALL),
+v AS (SELECT dst, var_pop(r) AS sv2_hat FROM f GROUP BY dst)
+SELECT CAST(c.src AS BIGINT) AS src, CAST(c.dst AS BIGINT) AS dst, round(b, 6) AS b, round(sv2_hat, 6) AS sv2_hat FROM c JOIN v ON v.dst = c.dst""")
+def refit_known(spark, sf_dir):
+    """Least squares on the planted edges and loops, one lag; its SQL solves the normal equations."""
+    s, _, _ = _planted(spark, sf_dir)
+    edges = spark.createDataFrame(list(PLANTED), "src long, dst long")
+    fitted = refit.estimate(graph.with_loops(edges, s.select("i")), s, 1)
+    each = refit.filters(fitted).select("src", "dst", F.get("b", F.lit(0)).alias("b"))
+    return rounded(each.join(fitted.select("dst", "sv2_hat"), "dst").select("src", "dst", "b", "sv2_hat"), "b", "sv2_hat")
+
+
+@query()
+def joint_alasso(spark, sf_dir):
+    """All equations of the planted system under one penalty."""
+    s, _, _ = _planted(spark, sf_dir)
+    return pipeline.joint_alasso(s, 2)
 
 
 @query()
 def lstsq_refit(spark, sf_dir):
-    s, n, t = _series(spark, sf_dir)
+    s, n, t = _planted(spark, sf_dir)
     return pipeline.estimate_graph(s, n, t, 5, max_t=t // 2).select("dst", "sv2_hat", "srcs")
 
 
 @query()
 def lasso_refit(spark, sf_dir):
-    s, n, t = _series(spark, sf_dir)
+    s, n, t = _planted(spark, sf_dir)
     return graph.drop_zero_filters(refit.filters(pipeline.estimate_graph(s, n, t, 5, method="lasso")))
 
 
 @query()
 def threshold_graph(spark, sf_dir):
-    s, n, t = _series(spark, sf_dir)
+    s, n, t = _planted(spark, sf_dir)
     return pipeline.threshold_graph(s, n, t, 5).select("dst", "sv2_hat", "srcs")
 
 
 def _dense(spark, sf_dir, method: str, **more) -> DataFrame:
-    s, _, _ = _series(spark, sf_dir)
-    return graph.drop_zero_filters(refit.filters(pipeline.dense_graph(s, 4, method, **more)))
+    s, _, _ = _planted(spark, sf_dir)
+    return graph.drop_zero_filters(refit.filters(pipeline.dense_graph(s, 2, method, **more)))
 
 
 @query()
@@ -675,7 +744,7 @@ def heavy_tails(spark, sf_dir):
 
 @query()
 def out_of_sample_demo(spark, sf_dir):
-    s, n, t = _series(spark, sf_dir)
+    s, n, t = _planted(spark, sf_dir)
     edges = pipeline.recover(pipeline.tests(s, n, t, 5))
     return diagnostics.out_of_sample(graph.with_loops(edges, s.select("i")), s, 5, t * 2 // 3)
 
@@ -686,8 +755,8 @@ def frequency_response(spark, sf_dir):
 
 
 def _trials(spark, sf_dir) -> DataFrame:
-    """Days of the events panel as trials, weeks as subjects."""
-    p = panel.zscore(events_panel(spark, sf_dir)).withColumn("trial", F.floor(F.col("t") / 72)).withColumn("subject", F.floor(F.col("trial") / 2))
+    """The planted system cut into trials of 250 days; two are a subject."""
+    p = panel.zscore(planted_panel(spark, sf_dir)).withColumn("trial", F.floor(F.col("t") / 250)).withColumn("subject", F.floor(F.col("trial") / 2))
     return p.groupBy("subject", "trial", "i").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "x"))), lambda r: r.x).alias("xs"))
 
 
@@ -713,17 +782,56 @@ def iterated_pwgc(spark, sf_dir):
 
 @query()
 def rolling_refit(spark, sf_dir):
-    """One graph a window of seven days."""
-    d = z_panel(spark, sf_dir).withColumn("day", F.floor(F.col("t") / 24)).persist()
+    """One graph a window of seven blocks of a hundred days."""
+    d = panel.zscore(planted_panel(spark, sf_dir)).withColumn("day", F.floor(F.col("t") / 100)).persist()
     days = d.agg(F.max("day")).first()[0] + 1
     w = panel.rolling_windows(d, "day", days, 7).groupBy("window_id", "i").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "x"))), lambda r: r.x).alias("xs"))
     return pipeline.graphs_by_group(w, ["window_id"], 3)
 
 
-@query()
+@query(f"WITH {G_SQL}, e AS (SELECT DISTINCT src, dst FROM ga WHERE src <> dst), {engine_sql.pagerank(20)} SELECT i, round(r, 6) AS r FROM rank")
 def pagerank(spark, sf_dir):
     a, _, n = two_graphs(spark, sf_dir)
-    return graph.pagerank(a.persist(), n, rounds=8)
+    return rounded(graph.pagerank(materialize(a, "edges"), n), "r")
+
+
+@query()
+def rolling_prediction(spark, sf_dir):
+    """What the graph of seven blocks of days explains of the next one, by node."""
+    d = panel.zscore(planted_panel(spark, sf_dir)).withColumn("day", F.floor(F.col("t") / 100))
+    return pipeline.rolling_prediction(d, 8, 2)
+
+
+@query()
+def trial_graphs(spark, sf_dir):
+    """Trials normalised with a little noise added, 200 steps of each, five lags."""
+    d = planted_panel(spark, sf_dir).withColumn("trial", F.floor(F.col("t") / 250))
+    return pipeline.trial_graphs(d, ["trial"])
+
+
+@query(f"""WITH {Z_SQL}, d AS (SELECT i, x - lag(x) OVER w AS y, lag(x) OVER w AS l FROM z WINDOW w AS (PARTITION BY i ORDER BY t)),
+gr AS (SELECT i, count(*)::DOUBLE AS n, regr_slope(y, l) AS b, regr_sxx(y, l) AS sxx, regr_syy(y, l) AS syy, regr_sxy(y, l) AS sxy FROM d WHERE y IS NOT NULL GROUP BY i)
+SELECT i, round(b / sqrt((syy - sxy * sxy / sxx) / (n - 2) / sxx), 5) AS adf FROM gr""")
+def stationarity_plain(spark, sf_dir):
+    """The unit-root statistic without lagged differences; `stationarity` chooses their number."""
+    return rounded(diagnostics.stationarity(_series(spark, sf_dir)[0], 0).select("i", "adf"), "adf", digits=5)
+
+
+@query()
+def coupled_demo(spark, sf_dir):
+    """Three loops of their own, the third driving the others from step 150 on."""
+    return simulate.demo_series(spark, coupled=True)
+
+
+@query()
+def subject_pair(spark, sf_dir):
+    """Tells trials of the planted system from those of the same system with its nodes moved round, by their graphs."""
+    t = panel.zscore(planted_panel(spark, sf_dir)).withColumn("trial", F.floor(F.col("t") / 100))
+    t = t.withColumn("subject", F.when(F.col("trial") % 2 == 0, "a").otherwise("b")).withColumn("i", F.when(F.col("trial") % 2 == 0, F.col("i")).otherwise((F.col("i") + 3) % 7))
+    t = t.groupBy("subject", "trial", "i").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "x"))), lambda r: r.x).alias("xs"))
+    e = pipeline.graphs_by_group(t, ["subject", "trial"], 2)
+    rows = materialize(classify.features(e, t.select("subject", "trial").distinct(), ["subject", "trial"], list(range(7))), "features")
+    return classify.subject_pair(rows, "a", "b", "subject", "trial", tries=1, folds=2, parts=(8,))
 
 
 @query()

@@ -9,13 +9,24 @@ from pyspark.sql import DataFrame
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df below spark.checkpoint.dir (a folder of our own only where that is unset) and read it back."""
+    """Write df below spark.checkpoint.dir and read it back; what is written goes when the session's JVM ends.
+
+    A local session that names no folder gets a temporary one; a cluster must name one that all executors share.
+    """
     spark = df.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not context.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="causeway-checkpoints-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/causeway/{uuid.uuid4().hex}/{label}"
+    own = f"{base.rstrip('/')}/causeway/{context.applicationId}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(own)
+    fs = folder.getFileSystem(context._jsc.hadoopConfiguration())
+    fs.mkdirs(folder)  # what is not there is not marked
+    fs.deleteOnExit(folder)
+    path = f"{own}/{uuid.uuid4().hex}/{label}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
