@@ -16,7 +16,7 @@ def stocks(spark: SparkSession, folder: str, symbols: DataFrame | None = None, p
     Each file is read by its own header, as one value (a ticker's file is small); fields hold no commas. Empty files,
     and files without a Date, give no rows; a column that a file lacks is null. symbols: a table of symbols to keep.
     """
-    raw = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).text(folder)
+    raw = spark.read.option("pathGlobFilter", pattern).text(folder, wholetext=True)
     raw = raw.select(F.lower(F.split(F.col("_metadata.file_name"), r"\.")[0]).alias("symbol"), F.split(F.regexp_replace("value", "^\ufeff", ""), r"\r?\n").alias("lines"))
     if symbols is not None:
         raw = raw.join(symbols.select(F.lower("symbol").alias("symbol")), "symbol", "left_semi")

@@ -205,3 +205,51 @@ def test_no_test_no_edge(spark):
     assert granger.threshold_edges(t, spark.createDataFrame([(1.0,)], "threshold double")).count() == 0
     with pytest.raises(ValueError):
         pipeline.graphs_by_group(t.selectExpr("src AS k", "dst AS i", "array(1D) AS xs"), ["k"], 1, "other")
+
+
+def test_tickers_are_read_by_name(spark, tmp_path):
+    (tmp_path / "abc.us.txt").write_text("Date,Close,Volume\n2020-01-02,2.5,100\nbad,1,2\n")
+    (tmp_path / "xyz.us.txt").write_text("volume,DATE,Open,close\r\n7,2020-01-03,1,9.5\r\n")
+    (tmp_path / "none.us.txt").write_text("")
+    (tmp_path / "less.us.txt").write_text("Date,Close\n2020-01-02,4\n")
+    got = sorted((r.symbol, str(r.date), r.close, r.volume) for r in readers.stocks(spark, str(tmp_path)).collect())
+    assert got == [("abc", "2020-01-02", 2.5, 100.0), ("less", "2020-01-02", 4.0, None), ("xyz", "2020-01-03", 9.5, 7.0)]
+    only = spark.createDataFrame([("XYZ",)], "symbol string")
+    assert [r.symbol for r in readers.stocks(spark, str(tmp_path), only).collect()] == ["xyz"]
+
+
+def test_stored_arrays_are_read(spark, tmp_path):
+    np.save(tmp_path / "a.npy", np.array([[0, 1.0], [0.5, 0]]))
+    np.save(tmp_path / "flat.npy", np.arange(3))
+    (tmp_path / "bad.npy").write_bytes(b"nothing")
+    assert sorted(tuple(r) for r in readers.adjacency_arrays(spark, str(tmp_path)).collect()) == [("a.npy", 0, 1, 1.0), ("a.npy", 1, 0, 0.5)]
+
+
+def test_joint_fit_and_datasets(system):
+    _, b, s = system
+    found = {(r.src, r.dst): r.b for r in pipeline.joint_alasso(s, 2).collect()}
+    big = {(int(k), int(d)) for d, k in np.argwhere((np.abs(b) > 0.3).any(0))}
+    assert big <= set(found) and len(found) < 30
+    rng = np.random.default_rng(0)
+    for kind in ("er", "gn"):
+        d = simulate.drawn_dataset(kind, 8, 300, 2, 0.3, rng)
+        assert d["x"].shape == (301, 8) and not d["x"][0].any() and simulate.Var(d["b"]).radius() < 0.99
+        assert {(int(a), int(c)) for a, c in np.argwhere(d["g"])} >= set(simulate.Var(d["b"]).graph())
+    assert simulate.random_system(4, 2, rng, adjacency=np.eye(4)).any(0).sum() == 4
+    assert set(simulate.iid_bernoulli(0.5, 50, rng)) == {0, 1} and abs(simulate.iid_normal(9000, rng, 2.0, 4.0).std() - 2) < 0.1
+    x, y = simulate.demo(4000), simulate.demo(4000, coupled=True)
+    late = lambda z: np.corrcoef(z[150:, 0], z[:-150, 2])[0, 1]
+    assert abs(late(x)) < 0.3 < late(y)
+
+
+def test_studies(spark):
+    g = experiments.over_nodes(spark, n=(5, 6), t=80, iterations=1, p=1, p_most=2)
+    assert g.count() == 6 and {r.n for r in g.collect()} == {5, 6}
+    assert experiments.over_density(spark, q=(0.1, 0.2), n=5, t=60, iterations=2).count() == 4
+    got = experiments.tracked(experiments.run(experiments.short_series(spark, t=(60, 90), n=4, iterations=2, p=1, p_most=2), ("pwgc",), 50), "t").collect()
+    assert {(r.t, r.metric) for r in got} == {(t, m) for t in (60, 90) for m in ("mcc", "fdr", "lre")}
+
+
+def test_tile_sizes(spark):
+    s = spark.createDataFrame([(k, [0.0] * 3000) for k in range(8)], "i long, xs array<double>")
+    assert 1 <= covariance.tile_size(s, 8) <= 16 and covariance.tile_size(s, 10**6) == covariance.MOST
