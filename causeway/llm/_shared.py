@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import sys
 import tempfile
 import uuid
@@ -15,6 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import _words as words
+
 #: A word is a maximal run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows up to which a table of one short row per group may be broadcast.
@@ -25,21 +28,38 @@ CHUNK_BYTES = 2_000_000
 BATCH_BYTES = 4_000_000
 
 
-_settled = False
+_owner: str | None = None
+_kept: dict = {}
 
 
-def settle() -> None:
-    """In a worker: give large arrays and Arrow's buffers back to the system when they are freed.
+def settle(owner: str) -> None:
+    """In a worker, before a task of the operator ``owner``: keep little memory that nothing needs.
 
-    Workers live on from task to task, and by default that memory stays with the process, more so with every size
-    in use. Only functions that run on executors call this; the driver's allocator is left alone.
+    Workers live on from task to task. Large arrays and Arrow's buffers go back to the system when they are freed,
+    and what another operator keeps for its next task (``keep``) goes when a task of this one starts. Only functions
+    that run on executors call this; the driver's allocator is left alone.
     """
-    global _settled
-    if not _settled and sys.platform == "linux":
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL(None).mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+    global _owner
+    if owner == _owner:
+        return
+    libc = ctypes.CDLL(None) if sys.platform == "linux" else None
+    if _owner is None and libc:
+        with contextlib.suppress(AttributeError):
+            libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
         pa.set_memory_pool(pa.system_memory_pool())
-    _settled = True
+    _owner = owner
+    _kept.clear()
+    words.forget()
+    gc.collect()
+    with contextlib.suppress(AttributeError):  # not in every C library
+        libc and libc.malloc_trim(0)
+
+
+def keep(key, make: Callable):
+    """What ``make`` gives, kept by this worker until a task of another operator starts in it."""
+    if key not in _kept:
+        _kept[key] = make()
+    return _kept[key]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -94,8 +114,10 @@ def map_arrow(df: DataFrame, f: Callable, schema) -> DataFrame:
     if int((conf.get(name, None) or "67108864").rstrip("b")) >= 67108864:
         conf.set(name, str(BATCH_BYTES))
 
+    owner = f.__module__
+
     def run(batches):
-        settle()
+        settle(owner)
         yield from f(batches)
 
     return df.mapInArrow(run, schema)

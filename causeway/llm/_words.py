@@ -26,6 +26,11 @@ def powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def forget() -> None:
+    """Drop the kept powers, which are as many as the longest texts had bytes."""
+    _POWERS.clear()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finalise a 64-bit hash (in place where it can)."""
     x = x ^ (x >> _U(32))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from ._pieces import PieceTable, gather
-from ._shared import map_arrow, slices
+from ._shared import keep, map_arrow, slices
 
 STEPS, LONG = 24, 48
 #: Ids that are decoded at once.
@@ -154,15 +154,9 @@ class Codec:
         return gather(self.tok, self.tok_at, code, edge)
 
 
-_CODECS: dict[tuple, Codec] = {}
-
-
 def codec(data: bytes, pattern: str) -> Codec:
-    """The worker's codec; workers outlive tasks, so its words serve the next task too."""
-    key = hashlib.sha256(data).digest(), pattern
-    if key not in _CODECS:
-        _CODECS[key] = Codec(data, pattern)
-    return _CODECS[key]
+    """The worker's codec; workers outlive tasks, so its words serve the operator's next task too."""
+    return keep(("codec", hashlib.sha256(data).digest(), pattern), lambda: Codec(data, pattern))
 
 
 def _vocabulary(spark, path: str | None, pattern: str | None):

@@ -213,7 +213,7 @@ def runs(flag: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def repeats_in_shard(group: pa.Table, units: tuple[Unit, ...]) -> pa.Table:
     """Ranges of a shard's windows that repeat in it, by piece (w1 null); of split grams also each class of equal windows once."""
-    settle()
+    settle(__name__)
     group = group.combine_chunks()
     unit = units[group["unit"][0].as_py()]
     count, split = group["c"].to_numpy(), group["split"].to_numpy(zero_copy_only=False)
@@ -267,7 +267,7 @@ def merged(arrays: list[np.ndarray]) -> np.ndarray:
 
 def repeats_across(group: pa.Table) -> pa.Table:
     """Single windows of a range of digests that another shard has too."""
-    settle()
+    settle(__name__)
     group = group.combine_chunks()
     (u1, k1), (u2, k2) = (np.unique(group[c].to_numpy(), return_inverse=True) for c in ("w1", "w2"))
     key, shard = k1 * len(u2) + k2, group["shard"].to_numpy()  # a number for each digest, exact

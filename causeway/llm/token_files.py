@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._pieces import PieceTable, gather
-from ._shared import discard, guarded, map_arrow, materialize, new_table_path, release, slices
+from ._shared import discard, guarded, keep, map_arrow, materialize, new_table_path, release, slices
 
 END_ID = 2
 LANES, CHECKPOINT, BLOCK = 1024, 256, 400_000
@@ -258,16 +258,10 @@ class WordEncoder:
         return ids, at
 
 
-_ENCODERS: dict[tuple, WordEncoder] = {}
-
-
 def _encoder(text: str, pattern: str) -> WordEncoder:
-    """The worker's encoder; workers outlive tasks, so its words serve the next task too."""
-    key = zlib.crc32(text.encode()), len(text), pattern
+    """The worker's encoder; workers outlive tasks, so its words serve the operator's next task too."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-    if key not in _ENCODERS:
-        _ENCODERS[key] = WordEncoder(text, pattern)
-    return _ENCODERS[key]
+    return keep(("encoder", zlib.crc32(text.encode()), len(text), pattern), lambda: WordEncoder(text, pattern))
 
 
 def token_ids(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> DataFrame:

@@ -211,7 +211,7 @@ def search(queries: DataFrame, candidates: DataFrame, k: int = K) -> DataFrame:
     c = candidates.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), in_slice.alias("s"), "row", "vec_id", "v")
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        settle()
+        settle(__name__)
         i, j, score = best(left["row"].to_numpy(), matrix(left["v"], width), left["floor"].to_numpy(), right["row"].to_numpy(), _ids(right["vec_id"]), matrix(right["v"], width), k)
         i, j = pa.array(i, pa.int64()), pa.array(j, pa.int64())
         return pa.table([left["row"].take(i), left["vec_id"].take(i), right["vec_id"].take(j), pa.array(score, pa.int64())], names=["row", "query_id", "vec_id", "score"])
