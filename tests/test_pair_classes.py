@@ -39,6 +39,10 @@ def test_copies_of_users_do_not_multiply_the_pairs(spark, tmp_path):
     copies_do_not_multiply(spark, tmp_path, "pairwise_gc_fast", "events", "user_id")
 
 
+def test_copies_of_suppliers_do_not_multiply_the_pairs(spark, tmp_path):
+    copies_do_not_multiply(spark, tmp_path, "pairwise_gc_lineitem", "lineitem", "l_suppkey")
+
+
 def test_expanded_classes_are_the_pairs_of_all_series(spark):
     rng = np.random.default_rng(5)
     rows = [(t, i, int(v)) for i in range(4) for t, v in enumerate(rng.poisson(1.0, 80)) if v]
